@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vocandra.llm.history import repeats_in_arrival_order
 from vocandra.llm.lines import repeated_lines, without_repeated_lines
+from vocandra.llm.names import employers, variant_pairs
 from vocandra.llm.near_dup import alike_classes, alike_pairs
 from vocandra.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(table(spark, sf_dir, "jobs"))
+
+
+def p1_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return employers(table(spark, sf_dir, "jobs"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_in_arrival_order(table(spark, sf_dir, "jobs"))
 
@@ -33,6 +42,8 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_employers": p1_employers,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_classes": p5_classes,

@@ -12,8 +12,11 @@ symmetric difference D is left:
   own band and the next larger one, so that any two sizes the threshold allows share a band. Sentences are
   segments as well: edits that come in one piece (a line put in, taken out or moved) leave the other sentences' keys
   untouched, so pairs near the threshold meet there.
-* ``print_a``, ``print_b``, ``n``: a 128-bit sum over elements; equal exactly for the same multiset of words.
+* ``class_id``: a hash of the sum over elements and of n; the same for the same multiset of words.
 * ``words``: the 32-bit element hashes, sorted, for the exact check.
+
+Of copies that one task meets, only the first carries keys and words (``lead``): a text that a third of all rows
+repeat then costs one row of keys per task.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vocandra.llm.lines import NO_LETTERS, frequent_lines, line_hashes, repeated_lines, scopes
 
@@ -34,7 +38,7 @@ from vocandra.llm.lines import NO_LETTERS, frequent_lines, line_hashes, repeated
 THRESHOLD = 0.75
 #: Neighbouring size bands are this factor apart: the largest ratio of sizes within the threshold.
 BAND = (2 - THRESHOLD) / THRESHOLD
-SEGMENT_WORDS = 14
+SEGMENT_WORDS = 15
 SENTENCE_WORDS = 8
 BITS = 256
 #: Frequent lines up to which their hashes (16 bytes each) are sent to the workers; beyond, they come by a join.
@@ -43,7 +47,9 @@ SENT_LINES = 2_000_000
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[\n.!?;]+")
 U = np.uint64
-SCHEMA = "job_id long, n int, print_a long, print_b long, bits array<long>, keys array<long>, words binary"
+SCHEMA = "job_id long, class_id long, lead boolean, n int, bits0 long, bits1 long, bits2 long, bits3 long, keys array<long>, words binary"
+#: Class ids a task remembers to tell first from later copies; forgetting only costs a repeated row of keys.
+REMEMBERED = 1_000_000
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -56,7 +62,7 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 def segments_of(n: int) -> list[tuple[int, int]]:
     """(band, number of segments) of the two bands a document of n words signs in."""
     band = int(math.log(max(n, 1)) / math.log(BAND) + 1e-9)
-    return [(b, max(5, round(BAND**b / SEGMENT_WORDS * 1.25))) for b in (band, band + 1)]
+    return [(b, max(5, round(BAND**b / SEGMENT_WORDS))) for b in (band, band + 1)]
 
 
 class Signer:
@@ -64,6 +70,7 @@ class Signer:
 
     def __init__(self) -> None:
         self.hash_of: dict[str, int] = {}
+        self.met: set[tuple[int, int]] = set()
 
     def _hashes(self, words: list[str]) -> list[int]:
         known = self.hash_of
@@ -77,7 +84,7 @@ class Signer:
             out.append(h)
         return out
 
-    def sign(self, ids: list[int], texts: list[str]) -> pd.DataFrame:
+    def sign(self, ids: list[int], texts: list[str], parts: list[int]) -> pd.DataFrame:
         words: list[str] = []
         doc_sizes, sentence_sizes, sentences_in = [], [], []
         for text in texts:
@@ -111,7 +118,7 @@ class Signer:
                 out[filled] = np.add.reduceat(mix(element, seed), starts[filled])
             sums.append(out)
         parity = np.bincount(d * BITS + (element & U(BITS - 1)).astype(np.int64), minlength=docs * BITS) & 1
-        bits = np.packbits(parity.astype(np.uint8).reshape(docs, BITS), axis=1, bitorder="little").view(U)
+        bits = np.packbits(parity.astype(np.uint8).reshape(docs, BITS), axis=1, bitorder="little").view(U).reshape(docs, 4)
 
         keys: list[list[np.ndarray]] = [[] for _ in range(docs)]
         h2 = mix(element, 5)
@@ -139,17 +146,25 @@ class Signer:
             for i, part in zip(*_split(owner[long_enough], key[long_enough])):
                 keys[i].append(part)
 
+        class_id = mix(sums[0] ^ mix(sums[1], 4), 10).view(np.int64).tolist()
+        lead = []
+        for c in zip(class_id, parts):
+            lead.append(c not in self.met)
+            if len(self.met) >= REMEMBERED:
+                self.met.clear()
+            self.met.add(c)
         small = np.sort((d.astype(U) << U(32)) | (element >> U(32))).astype(np.uint32)
         ends = np.cumsum(n)
+        none = np.zeros(0, np.int64)
         return pd.DataFrame(
             {
                 "job_id": ids,
+                "class_id": class_id,
+                "lead": lead,
                 "n": n.astype(np.int32),
-                "print_a": sums[0].view(np.int64),
-                "print_b": sums[1].view(np.int64),
-                "bits": list(bits.view(np.int64)),
-                "keys": [np.unique(np.concatenate(k)).view(np.int64) if k else np.zeros(0, np.int64) for k in keys],
-                "words": [small[b - m : b].tobytes() for b, m in zip(ends, n)],
+                **{f"bits{i}": bits[:, i].view(np.int64) for i in range(4)},
+                "keys": [np.unique(np.concatenate(k)).view(np.int64) if k and first_time else none for k, first_time in zip(keys, lead)],
+                "words": [small[b - m : b].tobytes() if first_time else b"" for b, m, first_time in zip(ends, n, lead)],
             }
         )
 
@@ -166,15 +181,16 @@ def alike_text(title: str | None, company: str | None, kept_lines: list[str]) ->
     return "\n".join([title or "", company or "", *kept_lines])
 
 
-def signatures(jobs: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
+def signatures(jobs: DataFrame, frequent: DataFrame | None = None, part: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Signatures of the jobs with non-blank descriptions, over title, company and the lines that are not frequent.
 
-    Jobs without any word in these are left out: they have no words in common with anything.
+    Jobs without any word in these are left out: they have no words in common with anything. ``part`` splits the table;
+    each part has its own first copies. Columns in ``carry`` are taken along. Rows whose part is null are left out.
     """
     frequent = frequent_lines(jobs) if frequent is None else frequent
     source, company = scopes(jobs)
-    rows = jobs.filter(F.length(F.trim(F.regexp_replace("description", r"\s+", " "))) > 0)
-    columns = ["job_id", "title", "company", "description"]
+    rows = jobs.filter(F.col("description").rlike(r"\S")).withColumn("_part", F.lit(0) if part is None else part).filter("_part IS NOT NULL")
+    columns = ["job_id", "title", "company", "description", "_part", *carry]
     if frequent.limit(SENT_LINES + 1).count() <= SENT_LINES:
         table = frequent.toPandas()
         wanted = np.unique(mix(table["scope"].to_numpy(np.int64).view(U), 11) ^ table["line"].to_numpy(np.int64).view(U))
@@ -208,7 +224,15 @@ def signatures(jobs: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
                     at += m
                     lines = text.split("\n")
                     texts.append(alike_text(title, name, [x for x, g in zip(lines, gone) if not g] if gone.any() else lines))
-            signed = signer.sign(batch["job_id"].tolist(), texts)
+            signed = signer.sign(batch["job_id"].tolist(), texts, batch["_part"].tolist())
+            signed["part"] = batch["_part"].to_numpy()
+            for c in carry:
+                signed[c] = batch[c].to_numpy()
             yield signed[signed["n"] > 0]
 
-    return rows.mapInPandas(sign, SCHEMA)
+    schema = StructType([*_parse(SCHEMA), StructField("part", IntegerType()), *[jobs.schema[c] for c in carry]])
+    return rows.mapInPandas(sign, schema)
+
+
+def _parse(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
