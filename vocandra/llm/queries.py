@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vocandra.llm.canonical import mapped_values
 from vocandra.llm.history import repeats_in_arrival_order
 from vocandra.llm.lines import repeated_lines, without_repeated_lines
 from vocandra.llm.names import employers, variant_pairs
@@ -21,6 +22,10 @@ def p1_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return employers(table(spark, sf_dir, "jobs"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped_values(*[table(spark, sf_dir, t) for t in ("jobs", "job_requirements", "ref_place", "ref_title", "skills")])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_in_arrival_order(table(spark, sf_dir, "jobs"))
 
@@ -44,6 +49,7 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_employers": p1_employers,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
