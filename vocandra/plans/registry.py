@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from vocandra.plans import units_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**units_queries.QUERIES}
 ORACLES: dict[str, str] = {}
 
 
