@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vocandra.llm.bpe import token_counts, token_ids
 from vocandra.llm.canonical import mapped_values
 from vocandra.llm.history import repeats_in_arrival_order
 from vocandra.llm.lines import repeated_lines, without_repeated_lines
 from vocandra.llm.names import employers, variant_pairs
 from vocandra.llm.near_dup import alike_classes, alike_pairs
+from vocandra.llm.packing import pack
 from vocandra.session import table
 
 
@@ -46,6 +48,14 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf_dir, "jobs"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_employers": p1_employers,
@@ -55,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_classes": p5_classes,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
+    "p8_ids": p8_ids,
+    "p9_packed": p9_packed,
 }
 
 _P6_LINES = r"""
