@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vocandra.llm.abuse import cases, scores, source_rates
 from vocandra.llm.bpe import token_counts, token_ids
 from vocandra.llm.canonical import mapped_values
 from vocandra.llm.history import repeats_in_arrival_order
@@ -56,6 +57,18 @@ def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_counts(table(spark, sf_dir, "documents")))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_employers": p1_employers,
@@ -67,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_clean": p6_clean,
     "p8_ids": p8_ids,
     "p9_packed": p9_packed,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 _P6_LINES = r"""
