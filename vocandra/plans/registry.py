@@ -6,11 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocandra.plans import units_queries
+from vocandra.plans import core_queries, units_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**units_queries.QUERIES}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core_queries.QUERIES, **units_queries.QUERIES}
+ORACLES: dict[str, str] = dict(core_queries.ORACLES)
+flagship = core_queries.flagship
