@@ -14,6 +14,7 @@ from vocandra.llm.lines import repeated_lines, without_repeated_lines
 from vocandra.llm.names import employers, variant_pairs
 from vocandra.llm.near_dup import alike_classes, alike_pairs
 from vocandra.llm.packing import pack
+from vocandra.llm.pii import found, redacted
 from vocandra.session import table
 
 
@@ -49,6 +50,14 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf_dir, "jobs"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "candidate_profile"))
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(table(spark, sf_dir, "jobs"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -78,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_classes": p5_classes,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
     "p9_packed": p9_packed,
     "p10_found": p10_found,

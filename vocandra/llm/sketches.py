@@ -44,6 +44,9 @@ BITS = 256
 #: Frequent lines up to which their hashes (16 bytes each) are sent to the workers; beyond, they come by a join.
 SENT_LINES = 2_000_000
 
+#: Stands for the scope of a blank company; a null would turn the column's hashes into floats.
+NO_SCOPE = 0
+
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[\n.!?;]+")
 U = np.uint64
@@ -195,7 +198,7 @@ def signatures(jobs: DataFrame, frequent: DataFrame | None = None, part: Column
         table = frequent.toPandas()
         wanted = np.unique(mix(table["scope"].to_numpy(np.int64).view(U), 11) ^ table["line"].to_numpy(np.int64).view(U))
         wanted_at = jobs.sparkSession.sparkContext.broadcast(wanted)
-        rows = rows.select(*columns, source.alias("by_source"), company.alias("by_company"), line_hashes(F.col("description")).alias("lines"))
+        rows = rows.select(*columns, source.alias("by_source"), F.coalesce(company, F.lit(NO_SCOPE)).alias("by_company"), line_hashes(F.col("description")).alias("lines"))
     else:
         wanted_at = None
         cut = repeated_lines(jobs, frequent).groupBy("job_id").agg(F.collect_set("line_no").alias("cut"))
@@ -214,9 +217,8 @@ def signatures(jobs: DataFrame, frequent: DataFrame | None = None, part: Column
                 line = np.concatenate(list(batch["lines"])).astype(np.int64).view(U)
                 hit = np.zeros(len(line), bool)
                 for by in ("by_source", "by_company"):
-                    has = np.repeat(batch[by].notna().to_numpy(), counts)
-                    scope = np.repeat(np.array([0 if pd.isna(x) else int(x) for x in batch[by]], np.int64), counts).view(U)
-                    hit |= has & np.isin(mix(scope, 11) ^ line, wanted_at.value)
+                    scope = np.repeat(batch[by].to_numpy(np.int64), counts)
+                    hit |= (scope != NO_SCOPE) & np.isin(mix(scope.view(U), 11) ^ line, wanted_at.value)
                 hit &= line != np.array([NO_LETTERS], np.int64).view(U)[0]
                 at = 0
                 for title, name, text, m in zip(batch["title"], batch["company"], batch["description"], counts):
