@@ -8,7 +8,7 @@ symmetric difference D is left:
   the largest D the threshold allows is rejected without looking at words.
 * ``keys``: pigeonhole segments. The elements are split by hash into S segments, each XORed to one key; D differing
   elements can touch at most D segments, so with D < S one key is equal for certain, and beyond that with probability
-  1 - (1 - e^(-D/S))^S. S grows with the size band, at one segment per ``SEGMENT_WORDS`` words; a document signs in its
+  1 - (1 - e^(-D/S))^S. S grows with the size band, by ``SEGMENT_WORDS``; a document signs in its
   own band and the next larger one, so that any two sizes the threshold allows share a band. Sentences are
   segments as well: edits that come in one piece (a line put in, taken out or moved) leave the other sentences' keys
   untouched, so pairs near the threshold meet there.
@@ -38,7 +38,8 @@ from vocandra.llm.lines import NO_LETTERS, frequent_lines, line_hashes, repeated
 THRESHOLD = 0.75
 #: Neighbouring size bands are this factor apart: the largest ratio of sizes within the threshold.
 BAND = (2 - THRESHOLD) / THRESHOLD
-SEGMENT_WORDS = 15
+#: Words a segment has on average, by the size up to which it holds: short texts can afford many small segments.
+SEGMENT_WORDS = ((40, 3), (100, 7), (1 << 60, 15))
 SENTENCE_WORDS = 8
 BITS = 256
 #: Frequent lines up to which their hashes (16 bytes each) are sent to the workers; beyond, they come by a join.
@@ -65,7 +66,8 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 def segments_of(n: int) -> list[tuple[int, int]]:
     """(band, number of segments) of the two bands a document of n words signs in."""
     band = int(math.log(max(n, 1)) / math.log(BAND) + 1e-9)
-    return [(b, max(5, round(BAND**b / SEGMENT_WORDS))) for b in (band, band + 1)]
+    words = {b: next(w for size, w in SEGMENT_WORDS if BAND**b <= size) for b in (band, band + 1)}
+    return [(b, max(5, round(BAND**b / w))) for b, w in words.items()]
 
 
 class Signer:
