@@ -19,10 +19,6 @@ def encode(text: str) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
-
-
 def init(embed: int = 16, hidden: int = 32, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     w: dict[str, np.ndarray] = {"embed": rng.normal(0, 0.3, (CODES, embed))}
@@ -42,14 +38,21 @@ def _run(w: dict[str, np.ndarray], x: np.ndarray, side: str, keep: bool) -> tupl
     """x: (time, batch) codes. Hidden states (time, batch, hidden), and what the backward pass needs."""
     steps, batch = x.shape
     size = w[f"h{side}"].shape[0]
-    table = w["embed"] @ w[f"x{side}"] + w[f"c{side}"]
+    half = np.ones(4 * size, w["embed"].dtype)
+    half[: 3 * size] = 0.5
+    table = (w["embed"] @ w[f"x{side}"] + w[f"c{side}"]) * half
+    recurrent = w[f"h{side}"] * half
     h = c = np.zeros((batch, size), np.float32)
     out = np.empty((steps, batch, size), np.float32)
     kept = []
     for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-        z = table[x[t]] + h @ w[f"h{side}"]
-        gates = _sigmoid(z[:, : 3 * size])
-        g = np.tanh(z[:, 3 * size :])
+        z = h @ recurrent
+        z += table[x[t]]
+        np.tanh(z, out=z)  # the gates' columns were halved: sigmoid(2a) = (tanh(a) + 1) / 2
+        gates = z[:, : 3 * size]
+        gates += 1.0
+        gates *= 0.5
+        g = z[:, 3 * size :]
         before_h, before_c = h, c
         c = gates[:, size : 2 * size] * c + gates[:, :size] * g
         tc = np.tanh(c)
@@ -71,10 +74,13 @@ def viterbi(scores: np.ndarray, move: np.ndarray) -> np.ndarray:
     steps, batch, _ = scores.shape
     best = scores[0]
     back = np.empty((steps, batch, LABELS), np.int8)
+    into = np.ascontiguousarray(move.T)[None]  # (to, from): the maximum runs along memory
+    rows, to = np.arange(batch)[:, None], np.arange(LABELS)[None]
     for t in range(1, steps):
-        options = best[:, :, None] + move[None]
-        back[t] = options.argmax(1)
-        best = options.max(1) + scores[t]
+        options = best[:, None, :] + into
+        at = options.argmax(2)
+        back[t] = at
+        best = options[rows, to, at] + scores[t]
     out = np.empty((steps, batch), np.int8)
     out[-1] = best.argmax(1)
     rows = np.arange(batch)
