@@ -84,6 +84,19 @@ def test_rank(spark):
     assert [(r["key"], r["weight"]) for r in grams] == [(1, 1.0)]
 
 
+def test_search_equals_brute_force(spark):
+    rng = random.Random(3)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)] + [(500, [0.0] * 6), (501, [1.0] * 6), (502, [1.0] * 6)]
+    frame = spark.createDataFrame(vectors, "key long, vector array<double>").repartition(3)
+    got = {(r["query"], r["key"]) for r in rank.search(frame, frame.filter("key % 25 = 0"), 5, block=2).collect()}
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    for q, v in vectors:
+        if q % 25 == 0:
+            share = {k: (sum(a * b for a, b in zip(v, w)) / (size(v) * size(w)) if size(v) * size(w) else 0.0) for k, w in vectors}
+            want = sorted(share, key=lambda k: (-round(share[k], 9), k))[:5]
+            assert {k for a, k in got if a == q} == set(want)
+
+
 def test_profiles(spark):
     rows = spark.createDataFrame([(1, '{"name": "A B", "skills": ["x", ""], "total_experience_years": "60", "experience_by_domain": {"ml": -1, "cv": 2}}'), (2, None), (3, "no json")], "id long, profile_json string")
     got = {r["id"]: r for r in profiles.profiles(rows).collect()}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vocandra.operators.skills import runs
+from vocandra.session import broadcast_if_small
 
 DIMENSIONS = 256
 
@@ -31,8 +36,8 @@ def hashed_grams(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
 
 
 def similarity(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(query, key, similarity) of sparse vectors; queries: (query, bucket, weight), few enough to be broadcast."""
-    met = items.join(F.broadcast(queries.withColumnRenamed("weight", "w")), "bucket")
+    """(query, key, similarity) of sparse vectors; queries: (query, bucket, weight), broadcast only where few."""
+    met = items.join(broadcast_if_small(queries.withColumnRenamed("weight", "w")), "bucket")
     return met.groupBy("query", "key").agg(F.sum(F.col("w") * F.col("weight")).alias("similarity"))
 
 
@@ -43,6 +48,39 @@ def top(rows: DataFrame, by: list[str], score: str, tie: str, k: int, least: flo
     return rows.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def search(items: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(query, key, similarity): the ``k`` items of highest cosine per query; both are (key, vector).
+
+    The queries go over all items in blocks of about ``block`` vectors, each a matrix product with every batch of items. A batch
+    hands on its own best k per query only, so the shuffle holds k rows per query and batch.
+    """
+    keyed = queries.select(F.col("key").alias("query"), F.col("vector").alias("v"))
+    blocks = max(1, -(-keyed.count() // block))
+    packed = keyed.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("query", "v")).alias("qs"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, part in batch.groupby("b"):
+                names = np.array([q["query"] for q in part["qs"].iloc[0]])
+                q = unit(np.array([q["v"] for q in part["qs"].iloc[0]], float))
+                keys = part["key"].to_numpy()
+                share = q @ unit(np.stack(part["vector"].to_numpy()).astype(float)).T
+                n = min(k, share.shape[1])
+                for name, row in zip(names, share):
+                    # All at or above the k-th value: ties are settled in the last step.
+                    near = np.flatnonzero(row >= np.partition(row, -n)[-n] - 1e-12)
+                    yield pd.DataFrame({"query": name, "key": keys[near], "similarity": row[near]})
+
+    met = items.select("key", "vector").join(broadcast_if_small(packed, 64))
+    found = met.mapInPandas(best, "query long, key long, similarity double")
+    return top(found, ["query"], "similarity", "key", k).select("query", "key", "similarity")
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(length > 0, length, 1.0)
+
+
 def rescale(c: Column, floor: float, ceiling: float) -> Column:
     """floor to 0, ceiling to 100; 50 where there is no range."""
     if ceiling <= floor:

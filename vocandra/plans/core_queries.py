@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from vocandra.functions import coerce, detect, experience, text, web
 from vocandra.operators import postings, profiles, rank, skills
-from vocandra.session import table
+from vocandra.session import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,45 +217,50 @@ def skill_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Neighbouring categories of the skills table, both ways.
 NEIGHBOURS = [("LEARNING", "VISION"), ("LEARNING", "LANGUAGE"), ("LEARNING", "DEPLOY"), ("LEARNING", "DATA"), ("DEPLOY", "CLOUD"), ("DEPLOY", "SOFTWARE"), ("CLOUD", "SOFTWARE"), ("DATA", "SOFTWARE"), ("CODING", "SOFTWARE")]
 _PAIRS = ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in NEIGHBOURS)
-CANDIDATES = 5
 
 
 @query(
     f"""WITH {_ALIASES}, {_ITEMS}, {_RESOLVED}, pairs(a, b) AS (VALUES {_PAIRS}),
     wanted AS (SELECT job_id, skill, any_value(category) AS category, bool_or(required) AS required FROM items JOIN resolved USING (name) GROUP BY job_id, skill),
-    offered AS (SELECT DISTINCT p.id AS candidate, s.name AS skill, s.category FROM (SELECT id, unnest(from_json(json_extract(profile_json, '$.skills'), '["VARCHAR"]')) AS name FROM candidate_profile ORDER BY id) p
-        JOIN (SELECT * FROM skills WHERE is_alias = 0) s ON s.name = p.name WHERE p.id <= {CANDIDATES}),
-    everyone AS (SELECT DISTINCT candidate FROM offered),
+    offered AS (SELECT DISTINCT p.id AS candidate, s.name AS skill, s.category FROM (SELECT id, unnest(from_json(json_extract(profile_json, '$.skills'), '["VARCHAR"]')) AS name FROM candidate_profile) p
+        JOIN (SELECT * FROM skills WHERE is_alias = 0) s ON s.name = p.name),
+    roles AS (SELECT DISTINCT id AS candidate, unnest(from_json(json_extract(profile_json, '$.target_roles'), '["VARCHAR"]')) AS title FROM candidate_profile),
+    sought AS (SELECT DISTINCT r.candidate, j.job_id FROM roles r JOIN jobs j USING (title)),
     kinds AS (SELECT e.candidate, w.*, CASE
         WHEN EXISTS (SELECT 1 FROM offered o WHERE o.candidate = e.candidate AND lower(o.skill) = lower(w.skill)) THEN 1.0
         WHEN EXISTS (SELECT 1 FROM offered o WHERE o.candidate = e.candidate AND o.category = w.category) THEN 0.75
         WHEN EXISTS (SELECT 1 FROM offered o JOIN pairs ON pairs.b = o.category WHERE o.candidate = e.candidate AND pairs.a = w.category) THEN 0.5 ELSE 0.0 END AS worth
-        FROM wanted w, everyone e)
+        FROM wanted w JOIN sought e USING (job_id))
     SELECT candidate AS candidate_id, job_id, count(*) AS skills, count(*) FILTER (worth > 0) AS matched, round(100 * sum(worth * CASE WHEN required THEN 1.0 ELSE 0.5 END) / sum(CASE WHEN required THEN 1.0 ELSE 0.5 END), 4) AS score
     FROM kinds GROUP BY candidate, job_id"""
 )
 def skill_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skill scores of all postings for the first candidates; the shortlist of candidates is the query's parameter."""
+    """Skill scores of all candidates for the postings whose title is one of their target roles."""
     listed = table(spark, sf_dir, "skills")
     items = _requirement_items(spark, sf_dir)
     known = skills.resolve(items.select("name").distinct(), listed)
-    wanted = items.join(F.broadcast(known), "name").groupBy("job_id", "skill").agg(F.first("category").alias("category"), F.max("required").alias("required"))
-    people = profiles.profiles(table(spark, sf_dir, "candidate_profile").filter(F.col("id") <= CANDIDATES))
+    wanted = items.join(known, "name").groupBy("job_id", "skill").agg(F.first("category").alias("category"), F.max("required").alias("required"))
+    people = profiles.profiles(table(spark, sf_dir, "candidate_profile"))
     canonical = listed.filter("is_alias = 0").select(F.col("name").alias("skill"), "category")
     offered = people.select(F.col("id").alias("group"), F.posexplode("skills").alias("place", "skill")).join(F.broadcast(canonical), "skill")
-    everyone = offered.select("group").distinct()
     related = spark.createDataFrame([p for a, b in NEIGHBOURS for p in ((a, b), (b, a))], "a string, b string")
-    crossed = wanted.withColumnRenamed("job_id", "key").join(F.broadcast(everyone))
-    scored = skills.score(skills.match(crossed, offered, related))
+    roles = people.select(F.col("id").alias("group"), F.explode("target_roles").alias("title")).distinct()
+    sought = roles.join(table(spark, sf_dir, "jobs").select("job_id", "title"), "title").select("group", "job_id").distinct()
+    met = sought.join(wanted, "job_id").withColumnRenamed("job_id", "key")
+    scored = skills.score(skills.match(met, offered, related))
     return scored.select(F.col("group").alias("candidate_id"), F.col("key").alias("job_id"), "skills", "matched", F.round("score", 4).alias("score"))
 
 
-@query("SELECT label, a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], q.v::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(q.v::DOUBLE[], q.v::DOUBLE[])), 5) AS similarity FROM embeddings a, (SELECT embedding AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q QUALIFY row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) <= 10")
-def cosine_top_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.agg(F.min_by("embedding", "vec_id").alias("v"))
-    near = vectors.join(F.broadcast(first)).select("label", "vec_id", F.round(rank.cosine(F.col("embedding"), F.col("v")), 5).alias("similarity"))
-    return rank.top(near, ["label"], "similarity", "vec_id", 10).drop("place")
+@query(
+    """WITH p AS (SELECT q.vec_id AS query_id, a.vec_id, list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s
+        FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0)
+    SELECT query_id, vec_id, round(s, 5) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 10"""
+)
+def cosine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    near = rank.search(vectors, vectors.filter("key % 100 = 0"), 10)
+    return near.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
 
 
 @query(
@@ -263,16 +268,16 @@ def cosine_top_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT key, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM t WHERE length(t) >= 3),
     b AS (SELECT key, CAST(('0x' || left(md5(gram), 8))::BIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM g GROUP BY ALL),
     v AS (SELECT key, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS weight FROM b),
-    q AS (SELECT bucket, weight AS w FROM v WHERE key = (SELECT min(job_id) FROM jobs))
-    SELECT key AS job_id, round(sum(w * weight), 6) AS similarity, round(greatest(0, least(100, 100 * (sum(w * weight) - 0.35) / 0.5)), 4) AS score FROM v JOIN q USING (bucket) GROUP BY key"""
+    s AS (SELECT q.key AS query_id, v.key AS job_id, round(sum(q.weight * v.weight), 6) AS similarity FROM v JOIN v q USING (bucket) WHERE q.key % 100 = 0 GROUP BY q.key, v.key)
+    SELECT query_id, job_id, similarity, round(greatest(0, least(100, 100 * (similarity - 0.35) / 0.5)), 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, job_id) <= 20"""
 )
-def hashed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "jobs")
-    vectors = rank.hashed_grams(jobs.select(F.col("job_id").alias("key"), F.col("title").alias("text")))
-    first = jobs.agg(F.min("job_id").alias("key"))
-    wanted = rank.hashed_grams(jobs.select(F.col("job_id").alias("key"), F.col("title").alias("text")).join(F.broadcast(first), "key", "left_semi"))
-    near = rank.similarity(wanted.select(F.col("key").alias("query"), "bucket", "weight"), vectors)
-    return near.select(F.col("key").alias("job_id"), F.round("similarity", 6).alias("similarity"), F.round(rank.rescale(F.col("similarity"), 0.35, 0.85), 4).alias("score"))
+def hashed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of every hundredth posting against all, by hashed trigrams."""
+    vectors = stage(rank.hashed_grams(table(spark, sf_dir, "jobs").select(F.col("job_id").alias("key"), F.col("title").alias("text"))), "grams")
+    wanted = vectors.filter("key % 100 = 0").withColumnRenamed("key", "query")
+    near = rank.similarity(wanted, vectors).withColumn("similarity", F.round("similarity", 6))
+    near = rank.top(near, ["query"], "similarity", "key", 20)
+    return near.select(F.col("query").alias("query_id"), F.col("key").alias("job_id"), "similarity", F.round(rank.rescale(F.col("similarity"), 0.35, 0.85), 4).alias("score"))
 
 
 WEIGHTS = {"experience_score": 0.30, "skill_score": 0.25, "embedding_score": 0.20, "domain_score": 0.10, "responsibility_score": 0.10, "career_alignment_score": 0.05}
@@ -326,15 +331,15 @@ def deduplicated_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH old AS (SELECT url, company, sources, first_seen, last_seen FROM jobs WHERE first_seen < TIMESTAMP '{AS_OF}'),
-    new AS (SELECT url, 'seen again' AS company, ['rescan'] AS sources FROM jobs WHERE job_id % 3 = 0 OR first_seen >= TIMESTAMP '{AS_OF}')
+    new AS (SELECT url, 'seen again' AS company, ['rescan'] AS sources FROM jobs WHERE last_seen >= TIMESTAMP '{AS_OF}' OR first_seen >= TIMESTAMP '{AS_OF}')
     SELECT coalesce(o.url, n.url) AS url, CASE WHEN n.url IS NOT NULL THEN n.company ELSE o.company END AS company, array_to_string(list_distinct(list_concat(coalesce(o.sources, []), coalesce(n.sources, []))).list_sort(), ',') AS sources,
         coalesce(o.first_seen, TIMESTAMP '{AS_OF}') AS first_seen, CASE WHEN n.url IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE o.last_seen END AS last_seen, o.url IS NULL AS is_new FROM old o FULL JOIN new n ON o.url = n.url"""
 )
 def upserted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was seen before a day, with a rescan of every third posting and all later ones merged in: the rescan is the query's input."""
+    """What was known before a day, with what was seen from that day on merged in."""
     as_of = F.expr(f"TIMESTAMP_NTZ '{AS_OF}'")
     jobs = table(spark, sf_dir, "jobs")
-    again = jobs.filter((F.col("job_id") % 3 == 0) | (F.col("first_seen") >= as_of))
+    again = jobs.filter((F.col("last_seen") >= as_of) | (F.col("first_seen") >= as_of))
     none = F.lit(None).cast("timestamp_ntz")
     again = again.withColumn("company", F.lit("seen again")).withColumn("sources", F.array(F.lit("rescan"))).withColumn("first_seen", none).withColumn("last_seen", none)
     merged = postings.upsert(jobs.filter(F.col("first_seen") < as_of), again, as_of)
