@@ -98,8 +98,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
-        self.ranks = load_ranks(path)
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
         self.split = regex.compile(PATTERN)
         self.known: dict[str, list[int]] = {}
 
@@ -126,11 +126,11 @@ def vocabulary_path(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
 
 
 def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids) of all documents. ``path``: the vocabulary's file, there on every executor."""
-    path = path or vocabulary_path()
+    """(doc_id, ids) of all documents. ``path``: the vocabulary's file, read by the driver; its size is fixed."""
+    ranks = documents.sparkSession.sparkContext.broadcast(load_ranks(path or vocabulary_path()))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = Encoder(ranks.value)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [encoder.encode(t) for t in batch["text"]]})
 
@@ -139,10 +139,10 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, tokens)."""
-    path = path or vocabulary_path()
+    ranks = documents.sparkSession.sparkContext.broadcast(load_ranks(path or vocabulary_path()))
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(path)
+        encoder = Encoder(ranks.value)
         for texts in batches:
             yield pd.Series([len(encoder.encode(t)) for t in texts], dtype="int32")
 
