@@ -85,7 +85,7 @@ class History:
             keyed = keyed.unionByName(window.withColumn("new", F.lit(False)))
             for table in self.texts:
                 known = known.unionByName(table.select(*known.columns))
-        alike = stage(verified(candidate_pairs(keyed, by_new=True), known), "batch-alike")
+        alike = stage(verified(candidate_pairs(keyed, known, by_new=True), known), "batch-alike")
 
         at = nodes.select(F.col("class_id").alias("a"), F.col("node").alias("x"), F.col("day").alias("day_x"))
         old = nodes.select(F.col("class_id").alias("b"), F.col("node").alias("y"), F.col("day").alias("day_y"), F.lit(False).alias("settled"))

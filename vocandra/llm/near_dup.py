@@ -4,8 +4,8 @@
 2. Jobs with the same multiset of words are one class; only classes go on, so a third of all rows being copies of one
    text costs a row per task from here on.
 3. Pigeonhole join: classes that share a segment key are candidates. A key shared by more than ``HOT_KEY`` classes (a
-   stock sentence) isn't dropped: its classes are joined on pairs of that key and each other key of theirs, so that
-   only those sharing a second segment meet.
+   stock sentence, or a segment that a large cluster left untouched) isn't dropped: its classes are cut into blocks,
+   every block meets every block, and the bound of step 4 is applied there, before anything is shuffled.
 4. Hamming distance of the 256-bit sketches, a lower bound of the symmetric difference, rejects most candidates.
 5. The exact multiset overlap of the rest decides.
 
@@ -23,63 +23,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vocandra.llm.sketches import THRESHOLD, signatures
 from vocandra.session import broadcast_if_small, stage
 
-#: Representatives that share a segment key from which on a second shared key is asked for.
+#: Representatives that share a segment key from which on their pairs are made in blocks, under the sketch bound.
 HOT_KEY = 128
+#: Ids of a hot key in a block: a task takes block by block of pairs, and each id goes to as many as its key has blocks.
+BLOCK = 4096
+BIT_COLUMNS = [f"bits{i}" for i in range(4)]
 
 
-def candidate_pairs(keyed: DataFrame, hot_key: int = HOT_KEY, by_new: bool = False) -> DataFrame:
-    """(a, b), a < b: ids of ``keyed`` (id, keys) that share a key; see step 3.
+def _bound(threshold: float) -> Column:
+    """Whether a and b (n, bits0-3 with _a and _b) can reach the threshold, by their sizes and sketches."""
+    total = F.col("n_a") + F.col("n_b")
+    far = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BIT_COLUMNS), F.lit(0))
+    return (2 * F.least("n_a", "n_b") >= threshold * total) & (far <= (1 - threshold) * total)
 
-    by_new: ``keyed`` has a flag ``new`` as well, and only pairs with a new id on at least one side are made.
-    """
-    flag = ["new"] if by_new else []
 
-    def shared(rows: DataFrame) -> DataFrame:
-        """One row per key and id, of the keys that several ids share; one exchange, by key, serves all that follows."""
-        window = W.partitionBy("key")
-        rows = rows.repartition("key").groupBy("key", "id").agg(*[F.max(c).alias(c) for c in flag] or [F.lit(1).alias("one")])
-        rows = rows.withColumn("sharing", F.count("*").over(window))
-        if by_new:
-            rows = rows.withColumn("any_new", F.max("new").over(window)).filter("any_new")
-        return rows.filter("sharing > 1").select("key", "id", "sharing", *flag)
+def _side(frame: DataFrame, name: str) -> DataFrame:
+    return frame.select(*[F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in frame.columns])
 
-    counted = shared(keyed.select("id", F.explode("keys").alias("key"), *flag))
-    hot = broadcast_if_small(stage(counted.filter(F.col("sharing") > hot_key).select(F.col("key").alias("hot")).distinct(), "hot-keys"))
-    with_hot = keyed.select("id", "keys", F.explode("keys").alias("hot"), *flag).join(hot, "hot", "left_semi")
-    second = with_hot.select("id", "hot", F.explode("keys").alias("key"), *flag).filter("key != hot")
-    second = shared(second.select("id", F.xxhash64("hot", "key").alias("key"), *flag))
 
-    def meet(rows: DataFrame) -> DataFrame:
-        left, right = rows.select("key", F.col("id").alias("a"), *flag), rows.select("key", F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in flag])
-        pairs = left.join(right, "key").filter("a < b")
-        return (pairs.filter("new or new_b") if by_new else pairs).select("a", "b")
+def _sizes(signed: DataFrame) -> DataFrame:
+    return signed.groupBy("id").agg(*[F.max(c).alias(c) for c in ("n", *BIT_COLUMNS)])
 
-    return meet(counted.filter(F.col("sharing") <= hot_key)).union(meet(second)).distinct()
 
+def candidate_pairs(keyed: DataFrame, signed: DataFrame, hot_key: int = HOT_KEY, by_new: bool = False, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: ids of ``keyed`` (id, keys) that share a key; see step 3. ``signed`` has their n and bits0-3.
 
-def verified(pairs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of ids in ``signed`` (id, n, bits0-3, words; an id may come again) that reach the threshold."""
-    bits = [f"bits{i}" for i in range(4)]
-    sizes = signed.groupBy("id").agg(*[F.max(c).alias(c) for c in ("n", *bits)])
+    by_new: ``keyed`` has a flag ``new`` as well, and only pairs with a new id on at least one side are made.
+    """
+    flag = ["new"] if by_new else []
+    window = W.partitionBy("key")
+    # One row per key and id, of the keys that several ids share; one exchange, by key, serves all that follows.
+    rows = keyed.select("id", F.explode("keys").alias("key"), *flag).repartition("key")
+    rows = rows.groupBy("key", "id").agg(*[F.max(c).alias(c) for c in flag] or [F.lit(1).alias("one")])
+    rows = rows.withColumn("sharing", F.count("*").over(window))
+    rows = rows.withColumn("fresh", F.count_if("new").over(window)) if by_new else rows.withColumn("fresh", F.col("sharing"))
+    counted = rows.filter("sharing > 1 AND fresh > 0").select("key", "id", "sharing", "fresh", *flag)
+
+    plain = counted.filter(F.col("sharing") <= hot_key)
+    left, right = (plain.select("key", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in flag]) for x in ("a", "b"))
+    met = left.join(right, "key").filter("a < b")
+    met = (met.filter("new_a OR new_b") if by_new else met).select("a", "b")
+
+    def blocks(of: str) -> Column:
+        return F.ceil(F.col(of) / block).cast("int")
+
+    hot = stage(counted.filter(F.col("sharing") > hot_key), "hot-keys").join(_sizes(signed), "id")
+    asking = hot.filter("new") if by_new else hot
+    asking = asking.withColumn("i", F.pmod(F.xxhash64("id"), blocks("fresh")).cast("int"))
+    asked = hot.withColumn("j", F.pmod(F.xxhash64("id"), blocks("sharing")).cast("int"))
+    # Without a flag both sides have the same blocks, and those at or above the diagonal are enough.
+    asking = asking.withColumn("j", F.explode(F.sequence(F.lit(0) if by_new else F.col("i"), blocks("sharing") - 1)))
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("fresh") - 1 if by_new else F.col("j"))))
+    asking, asked = (_side(frame.drop("sharing", "fresh"), x).withColumnsRenamed({f"{c}_{x}": c for c in ("key", "i", "j")}) for frame, x in ((asking, "a"), (asked, "b")))
+    once = F.expr("a < b OR (NOT new_b AND a <> b)" if by_new else "a < b OR i < j")
+    near = asking.join(asked, ["key", "i", "j"]).filter(once & _bound(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.union(near).distinct()
 
-    def side(frame: DataFrame, name: str) -> DataFrame:
-        return frame.select(*[F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in frame.columns])
 
-    near = pairs.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b")
-    total = F.col("n_a") + F.col("n_b")
-    far = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
-    near = near.filter((2 * F.least("n_a", "n_b") >= threshold * total) & (far <= (1 - threshold) * total)).select("a", "b")
+def verified(pairs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of ids in ``signed`` (id, n, bits0-3, words; an id may come again) that reach the threshold."""
+    sizes = _sizes(signed)
+    near = pairs.join(_side(sizes, "a"), "a").join(_side(sizes, "b"), "b").filter(_bound(threshold)).select("a", "b")
     near = stage(near, "near-pairs")
     used = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     words = signed.select("id", "words").join(broadcast_if_small(stage(used, "near-ids")), "id", "left_semi").dropDuplicates(["id"])
-    full = near.join(side(words, "a"), "a").join(side(words, "b"), "b")
+    full = near.join(_side(words, "a"), "a").join(_side(words, "b"), "b")
 
     def overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
@@ -98,7 +113,7 @@ def _linked(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(job_id, class_id) of all jobs with words, and the alike pairs (a, b) of class ids."""
     signed = stage(signatures(jobs), "signatures")
     leads = signed.filter("lead").withColumnRenamed("class_id", "id")
-    return signed.select("job_id", "class_id").distinct(), stage(verified(candidate_pairs(leads.select("id", "keys")), leads), "alike-classes")
+    return signed.select("job_id", "class_id").distinct(), stage(verified(candidate_pairs(leads.select("id", "keys"), leads), leads), "alike-classes")
 
 
 def alike_pairs(jobs: DataFrame) -> DataFrame:
