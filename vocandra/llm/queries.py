@@ -14,7 +14,7 @@ from vocandra.llm.lines import repeated_lines, without_repeated_lines
 from vocandra.llm.names import employers, variant_pairs
 from vocandra.llm.near_dup import alike_classes, alike_pairs
 from vocandra.llm.packing import pack
-from vocandra.llm.pii import found, redacted
+from vocandra.llm.pii import found, redacted_texts
 from vocandra.session import table
 
 
@@ -55,7 +55,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redacted(table(spark, sf_dir, "jobs"))
+    return redacted_texts(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "candidate_profile"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
