@@ -17,3 +17,12 @@ def test_skill_scores_of_all_postings(spark, name):
     # The scores by target role are a part of it.
     part = {(r["candidate_id"], r["job_id"]): (r["skills"], r["matched"], r["score"]) for r in QUERIES["skill_scores"](spark, DATA).filter("candidate_id % 100 = 0").collect()}
     assert part and all(got[k] == pytest.approx(v) for k, v in part.items())
+
+
+def test_the_whole_report(spark):
+    rows = QUERIES["matched_report_all"](spark, "/root/testdata/sf0.1").collect()
+    assert len(rows) > 1000
+    rows.sort(key=lambda r: (r["verdict"] != "MATCH", -r["final_score"], r["job_id"]))
+    assert [r["place"] for r in rows] == list(range(1, len(rows) + 1))
+    first = {tuple(r) for r in QUERIES["matched_report"](spark, "/root/testdata/sf0.1").collect()}
+    assert {tuple(r) for r in rows[:1000]} == first

@@ -456,6 +456,21 @@ def matched_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("job_id", "company", "title", "verdict", "final_score", F.date_format("posted_date", "yyyy-MM-dd").alias("posted"), F.array_join("sources", ", ").alias("platform"), "place")
 
 
+@query()
+def matched_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report; a row's place is its number in its range of the order, after the counts of the ranges before."""
+    rows = table(spark, sf_dir, "job_matches").select("job_id", "final_score", "verdict", "config_hash", "created_at")
+    best = postings.latest(rows, ["job_id"], ["created_at", "config_hash", "final_score", "verdict"]).filter(F.col("verdict").isin(*MATCHED))
+    jobs = table(spark, sf_dir, "jobs").select("job_id", "company", "title", "posted_date", "sources")
+    order = [F.when(F.col("verdict") == "MATCH", 0).otherwise(1), F.desc("final_score"), F.asc("job_id")]
+    shown = stage(best.join(jobs, "job_id").repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "report")
+    counts = shown.groupBy("range").count()  # a row per range
+    ahead = counts.select("range", (F.sum("count").over(W.orderBy("range")) - F.col("count")).alias("ahead"))
+    shown = shown.withColumn("nth", F.row_number().over(W.partitionBy("range").orderBy(*order))).join(F.broadcast(ahead), "range")
+    place = (F.col("ahead") + F.col("nth")).alias("place")
+    return shown.select("job_id", "company", "title", "verdict", "final_score", F.date_format("posted_date", "yyyy-MM-dd").alias("posted"), F.array_join("sources", ", ").alias("platform"), place)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings per level, mode and domain of experience, with the years asked for."""
     jobs = table(spark, sf_dir, "jobs").withColumn("x", experience.experience(F.col("description")))
