@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
+from vocandra.functions import text
 from vocandra.plans.core_queries import QUERIES
 from vocandra.session import table
 
@@ -19,6 +22,23 @@ def test_skill_scores_of_all_postings(spark, name):
     assert part and all(got[k] == pytest.approx(v) for k, v in part.items())
 
 
+def test_section_excerpts(spark):
+    got = {r["doc_id"]: r["excerpt"] for r in QUERIES["section_excerpts"](spark, DATA).collect()}
+    marker = re.compile(text.SECTION)
+    kinds = set()
+    for r in table(spark, DATA, "documents").filter("text IS NOT NULL").collect():
+        whole, m = r["text"], marker.search(r["text"])
+        if len(whole) <= 600:
+            kind, want = "short", whole
+        elif m and m.start() < len(whole) - 100:
+            kind, want = "section", (whole[max(0, m.start() - 150) : m.start()] + "\n" + whole[m.start() : m.start() + 600])[:750]
+        else:
+            kind, want = "head", whole[:600]
+        kinds.add(kind)
+        assert got[r["doc_id"]] == want
+    assert {"short", "head"} <= kinds
+
+
 def test_the_whole_report(spark):
     rows = QUERIES["matched_report_all"](spark, "/root/testdata/sf0.1").collect()
     assert len(rows) > 1000

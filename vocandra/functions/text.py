@@ -58,7 +58,8 @@ def sentences(c: Column) -> Column:
 
 def excerpt(c: Column, size: int) -> Column:
     """Long texts from their requirements on, with a little before; others whole or cut."""
-    at = F.regexp_instr(c, F.lit(SECTION))
+    # regexp_instr counts UTF-16 units, substr characters; so the position is what stands before the section.
+    at = F.when(c.rlike(SECTION), F.length(F.split(c, SECTION, 2)[0]) + 1).otherwise(0)
     start = F.greatest(F.lit(1), at - size // 4)
     head = F.substr(c, start, at - start)
     section = F.substr(F.concat(head, F.lit("\n"), F.substr(c, at, F.lit(size))), F.lit(1), F.lit(size + size // 4))

@@ -424,6 +424,12 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length("text").alias("characters"), F.col("text").rlike(text.SECTION).alias("has_section"), F.when(F.length("text") <= 600, whole).alias("short_text"))
 
 
+@query()
+def section_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of all documents, long ones too; tested against a small model."""
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.excerpt(F.col("text"), 600).alias("excerpt"))
+
+
 @query(
     """SELECT n_name AS nation, count(*) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY n_name"""
