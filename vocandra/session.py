@@ -1,7 +1,8 @@
-"""Session helpers: where intermediate tables go, and when a side may be broadcast."""
+"""Session helpers: where intermediate tables go, when a side may be broadcast, and tables bucketed by a key."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -9,31 +10,119 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a counted side may be sent to every executor. At the row widths used here
-#: (a few numbers and a short string) this is below 64 MB.
-BROADCAST_ROWS = 400_000
+#: Bytes on disk (compressed parquet) up to which a staged side may be sent to every executor.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). On a cluster it must be set; a local session gets a temporary one."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = "file://" + os.path.join(tempfile.gettempdir(), "vocandra-shared")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop's API."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
+def bytes_under(spark: SparkSession, path: str) -> int:
+    fs, where = _at(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = _at(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside its place and renames it, so that readers see all of it or nothing."""
+    fs, where = _at(spark, path)
+    _, beside = _at(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(beside)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    if not fs.rename(beside, where):
+        raise OSError(f"{path} is there already")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here, lost executors or not."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here, lost executors or not.
+
+    The table goes when the driver ends, or earlier by ``unstage``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _at(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing will read again, and let go of the shuffle files behind them."""
+    for df in frames:
+        remove(df.sparkSession, df.staged_at)
+    if frames:
+        release(frames[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of plans that nobody holds any more go when both collectors have seen it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def is_small(df: DataFrame, bytes_most: int = BROADCAST_BYTES) -> bool:
+    """Of a staged table: whether its files are small enough to be broadcast; looks at file sizes only."""
+    return bytes_under(df.sparkSession, df.staged_at) <= bytes_most
+
+
+def broadcast_if_small(df: DataFrame, bytes_most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast where the table's files are small; what isn't staged yet is staged for that."""
+    df = df if hasattr(df, "staged_at") else stage(df, "side")
+    return F.broadcast(df) if is_small(df, bytes_most) else df
+
+
+def bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Writes ``df``, which is partitioned by ``key`` into ``buckets``, as a table bucketed and sorted by it, and opens it."""
+    name = f"b_{uuid.uuid4().hex}"
+    df.sortWithinPartitions(key).write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    spark = df.sparkSession
+    out = spark.table(name)
+    out.table_name = name
+    return out
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; ``df`` should be staged, so that the count is a metadata read."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def open_bucketed(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """A bucketed table that this or another session wrote: joins and groups by ``key`` need no exchange."""
+    name = f"b_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
