@@ -26,6 +26,8 @@ MIN_DOCS = 8
 MIN_SHARE = 0.05
 #: xxhash64 of the empty string, the hash of every line without letters.
 NO_LETTERS = -7444071767201028348
+#: Stands for the scope of a blank company; a null would turn the column's hashes into floats.
+NO_SCOPE = 0
 
 
 def line_hashes(text: Column) -> Column:

@@ -1,11 +1,11 @@
 """Near-duplicate records with small edits (problem 5): a parity-sketch join.
 
 1. ``signatures``: parity sketches of every job's words (see ``sketches``), written once.
-2. Jobs with the same multiset of words are one class; only classes go on, so a third of all rows being copies of one
-   text costs a row per task from here on.
-3. Pigeonhole join: classes that share a segment key are candidates. A key shared by more than ``HOT_KEY`` classes (a
-   stock sentence, or a segment that a large cluster left untouched) isn't dropped: its classes are cut into blocks,
-   every block meets every block, and the bound of step 4 is applied there, before anything is shuffled.
+2. Jobs with the same multiset of words are one class; only one row of a class goes on, so a third of all rows being copies
+   of one text costs a row per task from here on.
+3. Pigeonhole join: classes that share a segment key are candidates. Keys go to buckets once (``key_table``); everything by
+   key happens inside a bucket. A key shared by more than ``HOT_KEY`` classes isn't dropped: its classes are cut into
+   blocks, every block meets every block, and the bound of step 4 is applied there, before anything is shuffled.
 4. Hamming distance of the 256-bit sketches, a lower bound of the symmetric difference, rejects most candidates.
 5. The exact multiset overlap of the rest decides.
 
@@ -19,6 +19,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vocandra.llm.sketches import THRESHOLD, signatures
-from vocandra.session import broadcast_if_small, stage
+from vocandra.session import broadcast_if_small, bucketed, is_small, shared_dir, stage, unstage
 
 #: Representatives that share a segment key from which on their pairs are made in blocks, under the sketch bound.
 HOT_KEY = 128
 #: Ids of a hot key in a block: a task takes block by block of pairs, and each id goes to as many as its key has blocks.
 BLOCK = 4096
 BIT_COLUMNS = [f"bits{i}" for i in range(4)]
+SIZES = ["id", "n", *BIT_COLUMNS]
+#: Bytes of a file of sizes and sketches up to which it is sent to the executors.
+SENT_SIZES = 24 << 20
 
 
 def _bound(threshold: float) -> Column:
@@ -48,52 +52,83 @@ def _side(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(*[F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in frame.columns])
 
 
-def _sizes(signed: DataFrame) -> DataFrame:
-    return signed.groupBy("id").agg(*[F.max(c).alias(c) for c in ("n", *BIT_COLUMNS)])
+def one_per_class(signed: DataFrame) -> DataFrame:
+    """Of staged signatures, one row with keys and words per class, as ``id``."""
+    first = signed.filter("lead").groupBy("class_id").agg(F.min("row_id").alias("row_id")).select("row_id")
+    return signed.join(broadcast_if_small(stage(first, "leads"), 1 << 20), "row_id", "left_semi").withColumnRenamed("class_id", "id")
+
+
+def key_table(rows: DataFrame, path: str | None = None, alone: bool = False) -> DataFrame:
+    """(key, id, sharing), bucketed and sorted by key, of rows (key, id); sharing: the ids that have the key.
+
+    Keys that only one id has are left out unless ``alone``. A table under ``path`` (the shared folder's by default).
+    """
+    spark = rows.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.repartition(buckets, "key").withColumn("sharing", F.count("*").over(W.partitionBy("key")))
+    path = path or f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}"
+    out = bucketed(counted if alone else counted.filter("sharing > 1"), path, "key", buckets)
+    out.staged_at, out.buckets = path, buckets
+    return out
+
+
+def met_pairs(left: DataFrame, right: DataFrame, sizes: DataFrame, same: bool, hot_key: int = HOT_KEY, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: ids of two tables (key, id, sharing) that share a key; see step 3. May have repeated rows.
+
+    same: both are one table. sizes: (id, n, bits0-3) of all ids.
+    """
+    plain = lambda frame, x: frame.filter(F.col("sharing") <= hot_key).select("key", F.col("id").alias(x))
+    met = plain(left, "a").join(plain(right, "b"), "key").filter("a < b" if same else "a <> b")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Hot on either side: the few keys are found by a filter that skips row groups without any.
+    hot = left.filter(F.col("sharing") > hot_key).select("key")
+    hot = broadcast_if_small(stage((hot if same else hot.union(right.filter(F.col("sharing") > hot_key).select("key"))).distinct(), "hot-keys"), 1 << 20)
+    asking, asked = left.join(hot, "key", "left_semi"), right.join(hot, "key", "left_semi")
+    blocks = lambda of: F.ceil(F.col(of) / block).cast("int")
+    counts = asking.groupBy("key").agg(F.max("sharing").alias("of_a")).join(asked.groupBy("key").agg(F.max("sharing").alias("of_b")), "key")
+    counts = counts.select("key", blocks("of_a").alias("rows"), blocks("of_b").alias("columns"))
+    asking, asked = (frame.drop("sharing").join(counts, "key").join(sizes, "id") for frame in (asking, asked))
+    asking = asking.withColumn("i", F.pmod(F.xxhash64("id"), "rows").cast("int"))
+    asked = asked.withColumn("j", F.pmod(F.xxhash64("id"), "columns").cast("int"))
+    # Of one table both sides have the same blocks, and those at or above the diagonal are enough.
+    asking = asking.withColumn("j", F.explode(F.sequence(F.col("i") if same else F.lit(0), F.col("columns") - 1)))
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if same else F.col("rows") - 1)))
+    asking, asked = (_side(frame.drop("rows", "columns"), x).withColumnsRenamed({f"{c}_{x}": c for c in ("key", "i", "j")}) for frame, x in ((asking, "a"), (asked, "b")))
+    once = F.expr("a < b OR (i < j AND a <> b)" if same else "a <> b")
+    near = asking.join(asked, ["key", "i", "j"]).filter(once & _bound(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.union(near)
 
 
 def candidate_pairs(keyed: DataFrame, signed: DataFrame, hot_key: int = HOT_KEY, by_new: bool = False, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: ids of ``keyed`` (id, keys) that share a key; see step 3. ``signed`` has their n and bits0-3.
+    """(a, b), a < b: ids of ``keyed`` (id, keys), once each, that share a key and are within the bound. ``signed`` has their n and bits0-3.
 
     by_new: ``keyed`` has a flag ``new`` as well, and only pairs with a new id on at least one side are made.
     """
-    flag = ["new"] if by_new else []
-    window = W.partitionBy("key")
-    # One row per key and id, of the keys that several ids share; one exchange, by key, serves all that follows.
-    rows = keyed.select("id", F.explode("keys").alias("key"), *flag).repartition("key")
-    rows = rows.groupBy("key", "id").agg(*[F.max(c).alias(c) for c in flag] or [F.lit(1).alias("one")])
-    rows = rows.withColumn("sharing", F.count("*").over(window))
-    rows = rows.withColumn("fresh", F.count_if("new").over(window)) if by_new else rows.withColumn("fresh", F.col("sharing"))
-    counted = rows.filter("sharing > 1 AND fresh > 0").select("key", "id", "sharing", "fresh", *flag)
-
-    plain = counted.filter(F.col("sharing") <= hot_key)
-    left, right = (plain.select("key", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in flag]) for x in ("a", "b"))
-    met = left.join(right, "key").filter("a < b")
-    met = (met.filter("new_a OR new_b") if by_new else met).select("a", "b")
-
-    def blocks(of: str) -> Column:
-        return F.ceil(F.col(of) / block).cast("int")
-
-    hot = stage(counted.filter(F.col("sharing") > hot_key), "hot-keys").join(_sizes(signed), "id")
-    asking = hot.filter("new") if by_new else hot
-    asking = asking.withColumn("i", F.pmod(F.xxhash64("id"), blocks("fresh")).cast("int"))
-    asked = hot.withColumn("j", F.pmod(F.xxhash64("id"), blocks("sharing")).cast("int"))
-    # Without a flag both sides have the same blocks, and those at or above the diagonal are enough.
-    asking = asking.withColumn("j", F.explode(F.sequence(F.lit(0) if by_new else F.col("i"), blocks("sharing") - 1)))
-    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("fresh") - 1 if by_new else F.col("j"))))
-    asking, asked = (_side(frame.drop("sharing", "fresh"), x).withColumnsRenamed({f"{c}_{x}": c for c in ("key", "i", "j")}) for frame, x in ((asking, "a"), (asked, "b")))
-    once = F.expr("a < b OR (NOT new_b AND a <> b)" if by_new else "a < b OR i < j")
-    near = asking.join(asked, ["key", "i", "j"]).filter(once & _bound(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return met.union(near).distinct()
+    sizes = stage(signed.select(*SIZES), "sizes")
+    tables = [keyed.filter("new"), keyed.filter("NOT new")] if by_new else [keyed]
+    tables = [key_table(t.select(F.explode("keys").alias("key"), "id"), alone=by_new) for t in tables]
+    out = met_pairs(tables[0], tables[0], sizes, True, hot_key, threshold, block)
+    if by_new:
+        out = out.union(met_pairs(tables[0], tables[1], sizes, False, hot_key, threshold, block))
+    return near_pairs(out, sizes, threshold)
+
+
+def near_pairs(pairs: DataFrame, sizes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The distinct pairs (a, b) that can reach the threshold by the bound. sizes: staged (id, n, bits0-3), once each.
+
+    Where the sizes are small they are sent to the pairs, so that only the few pairs within the bound are shuffled.
+    """
+    small = is_small(sizes, SENT_SIZES)
+    sent = F.broadcast(sizes) if small else sizes
+    pairs = pairs if small else pairs.distinct()
+    near = pairs.join(_side(sent, "a"), "a").join(_side(sent, "b"), "b").filter(_bound(threshold)).select("a", "b")
+    return stage(near.distinct() if small else near, "near-pairs")
 
 
-def verified(pairs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of ids in ``signed`` (id, n, bits0-3, words; an id may come again) that reach the threshold."""
-    sizes = _sizes(signed)
-    near = pairs.join(_side(sizes, "a"), "a").join(_side(sizes, "b"), "b").filter(_bound(threshold)).select("a", "b")
-    near = stage(near, "near-pairs")
+def verified(near: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Of staged pairs (a, b), those that reach the threshold. words: (id, words), once each."""
     used = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    words = signed.select("id", "words").join(broadcast_if_small(stage(used, "near-ids")), "id", "left_semi").dropDuplicates(["id"])
+    words = words.select("id", "words").join(broadcast_if_small(stage(used, "near-ids"), 4 << 20), "id", "left_semi")
     full = near.join(_side(words, "a"), "a").join(_side(words, "b"), "b")
 
     def overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -112,8 +147,24 @@ def verified(pairs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD)
 def _linked(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(job_id, class_id) of all jobs with words, and the alike pairs (a, b) of class ids."""
     signed = stage(signatures(jobs), "signatures")
-    leads = signed.filter("lead").withColumnRenamed("class_id", "id")
-    return signed.select("job_id", "class_id").distinct(), stage(verified(candidate_pairs(leads.select("id", "keys"), leads), leads), "alike-classes")
+    leads = one_per_class(signed)
+    keys = key_table(leads.select(F.explode("keys").alias("key"), "id"))
+    sizes = stage(leads.select(*SIZES), "sizes")
+    near = near_pairs(met_pairs(keys, keys, sizes, True), sizes)
+    links = stage(verified(near, leads), "alike-classes")
+    member = stage(signed.select("job_id", "class_id").distinct(), "members")
+    unstage(signed, keys, sizes, near)
+    return member, links
+
+
+def within_classes(member: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, j), i < j: all pairs of jobs of one class. Large classes meet block by block, so no task has a whole one."""
+    sizes = stage(member.groupBy("class_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("jobs")).filter("jobs > 1"), "class-sizes")
+    shared = member.join(broadcast_if_small(sizes), "class_id").withColumn("own", F.pmod(F.xxhash64("job_id"), "blocks").cast("int"))
+    left = shared.select("class_id", F.col("job_id").alias("i"), F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"))
+    right = shared.select("class_id", F.col("job_id").alias("j"), F.col("own").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("x"))
+    met = left.join(right, ["class_id", "x", "y"]).filter("i < j OR (x < y AND i <> j)")
+    return met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
 
 
 def alike_pairs(jobs: DataFrame) -> DataFrame:
@@ -121,8 +172,7 @@ def alike_pairs(jobs: DataFrame) -> DataFrame:
     member, links = _linked(jobs)
     left, right = (member.select(F.col("job_id").alias(j), F.col("class_id").alias(c)) for j, c in (("i", "a"), ("j", "b")))
     across = links.join(left, "a").join(right, "b").select(F.least("i", "j").alias("job_id_a"), F.greatest("i", "j").alias("job_id_b"))
-    within = member.withColumnRenamed("job_id", "job_id_a").join(member.withColumnRenamed("job_id", "job_id_b"), "class_id")
-    return across.union(within.filter("job_id_a < job_id_b").select("job_id_a", "job_id_b"))
+    return across.union(within_classes(member).select(F.col("i").alias("job_id_a"), F.col("j").alias("job_id_b")))
 
 
 def alike_classes(jobs: DataFrame) -> DataFrame:
