@@ -58,13 +58,13 @@ def one_per_class(signed: DataFrame) -> DataFrame:
     return signed.join(broadcast_if_small(stage(first, "leads"), 1 << 20), "row_id", "left_semi").withColumnRenamed("class_id", "id")
 
 
-def key_table(rows: DataFrame, path: str | None = None, alone: bool = False) -> DataFrame:
+def key_table(rows: DataFrame, path: str | None = None, alone: bool = False, buckets: int | None = None) -> DataFrame:
     """(key, id, sharing), bucketed and sorted by key, of rows (key, id); sharing: the ids that have the key.
 
     Keys that only one id has are left out unless ``alone``. A table under ``path`` (the shared folder's by default).
     """
     spark = rows.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = rows.repartition(buckets, "key").withColumn("sharing", F.count("*").over(W.partitionBy("key")))
     path = path or f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}"
     out = bucketed(counted if alone else counted.filter("sharing > 1"), path, "key", buckets)
