@@ -6,7 +6,7 @@
 3. Pigeonhole join: classes that share a segment key are candidates. Keys go to buckets once (``key_table``); everything by
    key happens inside a bucket. A key shared by more than ``HOT_KEY`` classes isn't dropped: its classes are cut into
    blocks, every block meets every block, and the bound of step 4 is applied there, before anything is shuffled.
-4. Hamming distance of the 256-bit sketches, a lower bound of the symmetric difference, rejects most candidates.
+4. Hamming distance of the 512-bit sketches, a lower bound of the symmetric difference, rejects most candidates.
 5. The exact multiset overlap of the rest decides.
 
 ``alike_classes`` gives one row per job (class, links); ``alike_pairs`` all pairs of jobs, copies expanded, as the
@@ -28,26 +28,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vocandra.llm.sketches import THRESHOLD, signatures
+from vocandra.llm.sketches import BITS, THRESHOLD, signatures
 from vocandra.session import broadcast_if_small, bucketed, is_small, shared_dir, stage, unstage
 
 #: Representatives that share a segment key from which on their pairs are made in blocks, under the sketch bound.
 HOT_KEY = 128
 #: Ids of a hot key in a block: a task takes block by block of pairs, and each id goes to as many as its key has blocks.
 BLOCK = 4096
-BIT_COLUMNS = [f"bits{i}" for i in range(4)]
+BIT_COLUMNS = [f"bits{i}" for i in range(BITS // 64)]
 SIZES = ["id", "n", *BIT_COLUMNS]
 #: Bytes of a file of sizes and sketches up to which it is sent to the executors.
 SENT_SIZES = 24 << 20
 
 
-def _bound(threshold: float) -> Column:
-    """Whether a and b (n, bits0-3 with _a and _b) can reach the threshold, by their sizes and sketches."""
+def _bound(threshold: float, bits: list[str]) -> Column:
+    """Whether a and b (n and the columns ``bits``, with _a and _b) can reach the threshold, by their sizes and sketches."""
     total = F.col("n_a") + F.col("n_b")
-    far = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BIT_COLUMNS), F.lit(0))
+    far = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
     return (2 * F.least("n_a", "n_b") >= threshold * total) & (far <= (1 - threshold) * total)
 
 
+def _bits(frame: DataFrame) -> list[str]:
+    return [c for c in frame.columns if c.startswith("bits")]
+
+
 def _side(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(*[F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in frame.columns])
 
@@ -75,7 +79,7 @@ def key_table(rows: DataFrame, path: str | None = None, alone: bool = False, buc
 def met_pairs(left: DataFrame, right: DataFrame, sizes: DataFrame, same: bool, hot_key: int = HOT_KEY, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b: ids of two tables (key, id, sharing) that share a key; see step 3. May have repeated rows.
 
-    same: both are one table. sizes: (id, n, bits0-3) of all ids.
+    same: both are one table. sizes: (id, n, bits) of all ids.
     """
     plain = lambda frame, x: frame.filter(F.col("sharing") <= hot_key).select("key", F.col("id").alias(x))
     met = plain(left, "a").join(plain(right, "b"), "key").filter("a < b" if same else "a <> b")
@@ -95,16 +99,16 @@ def met_pairs(left: DataFrame, right: DataFrame, sizes: DataFrame, same: bool, h
     asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if same else F.col("rows") - 1)))
     asking, asked = (_side(frame.drop("rows", "columns"), x).withColumnsRenamed({f"{c}_{x}": c for c in ("key", "i", "j")}) for frame, x in ((asking, "a"), (asked, "b")))
     once = F.expr("a < b OR (i < j AND a <> b)" if same else "a <> b")
-    near = asking.join(asked, ["key", "i", "j"]).filter(once & _bound(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = asking.join(asked, ["key", "i", "j"]).filter(once & _bound(threshold, _bits(sizes))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.union(near)
 
 
 def candidate_pairs(keyed: DataFrame, signed: DataFrame, hot_key: int = HOT_KEY, by_new: bool = False, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: ids of ``keyed`` (id, keys), once each, that share a key and are within the bound. ``signed`` has their n and bits0-3.
+    """(a, b), a < b: ids of ``keyed`` (id, keys), once each, that share a key and are within the bound. ``signed`` has their n and bits.
 
     by_new: ``keyed`` has a flag ``new`` as well, and only pairs with a new id on at least one side are made.
     """
-    sizes = stage(signed.select(*SIZES), "sizes")
+    sizes = stage(signed.select("id", "n", *_bits(signed)), "sizes")
     tables = [keyed.filter("new"), keyed.filter("NOT new")] if by_new else [keyed]
     tables = [key_table(t.select(F.explode("keys").alias("key"), "id"), alone=by_new) for t in tables]
     out = met_pairs(tables[0], tables[0], sizes, True, hot_key, threshold, block)
@@ -114,14 +118,14 @@ def candidate_pairs(keyed: DataFrame, signed: DataFrame, hot_key: int = HOT_KEY,
 
 
 def near_pairs(pairs: DataFrame, sizes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The distinct pairs (a, b) that can reach the threshold by the bound. sizes: staged (id, n, bits0-3), once each.
+    """The distinct pairs (a, b) that can reach the threshold by the bound. sizes: staged (id, n, bits), once each.
 
     Where the sizes are small they are sent to the pairs, so that only the few pairs within the bound are shuffled.
     """
     small = is_small(sizes, SENT_SIZES)
     sent = F.broadcast(sizes) if small else sizes
     pairs = pairs if small else pairs.distinct()
-    near = pairs.join(_side(sent, "a"), "a").join(_side(sent, "b"), "b").filter(_bound(threshold)).select("a", "b")
+    near = pairs.join(_side(sent, "a"), "a").join(_side(sent, "b"), "b").filter(_bound(threshold, _bits(sizes))).select("a", "b")
     return stage(near.distinct() if small else near, "near-pairs")
 
 

@@ -4,7 +4,7 @@ Each occurrence of a word ("the" first, "the" second, ...) is an element with a
 the XOR over elements, so an element shared by two documents cancels out of their difference and only the
 symmetric difference D is left:
 
-* ``bits``: 256 parities. The Hamming distance of two documents' bits is at most D, so a pair further apart than
+* ``bits``: 512 parities. The Hamming distance of two documents' bits is at most D, so a pair further apart than
   the largest D the threshold allows is rejected without looking at words.
 * ``keys``: pigeonhole segments. The elements are split by hash into S segments, each XORed to one key; D differing
   elements can touch at most D segments, so with D < S one key is equal for certain. Up to ``LONG`` words S grows with the
@@ -54,7 +54,8 @@ LONG, LONG_SEGMENTS = 100, 5
 SENTENCE_WORDS = 16
 #: Groups of least hashes, and hashes a group.
 GROUPS, DEEP = 38, 5
-BITS = 256
+#: Wide enough for the distance of two texts of a few hundred words not to saturate.
+BITS = 512
 #: Share of all documents from which on a word's hashes are not below ``FLOOR``, half of their range: the least hashes are
 #: those of other words, if there are some.
 COMMON, FLOOR = 0.35, 1 << 63
@@ -68,7 +69,7 @@ SENTENCE = re.compile(r"[\n.!?;]+")
 #: Lower-cases ASCII letters, keeps digits, marks ends of sentences and puts blanks for all else.
 ASCII = {i: chr(i).lower() if chr(i).isalnum() else "\1" if chr(i) in "\n.!?;" else " " for i in range(128)}
 U = np.uint64
-SCHEMA = "job_id long, class_id long, row_id long, lead boolean, n int, bits0 long, bits1 long, bits2 long, bits3 long, keys array<long>, words binary"
+SCHEMA = "job_id long, class_id long, row_id long, lead boolean, n int, " + "".join(f"bits{i} long, " for i in range(BITS // 64)) + "keys array<long>, words binary"
 #: Class ids a task remembers to tell first from later copies; forgetting only costs a repeated row of keys.
 REMEMBERED = 1_000_000
 
@@ -190,7 +191,7 @@ class Signer:
             self.met.add(c)
         lead = np.array(lead)
         parity = np.bincount(d * BITS + (element & U(BITS - 1)).astype(np.int64), minlength=docs * BITS) & 1
-        bits = np.packbits(parity.astype(np.uint8).reshape(docs, BITS), axis=1, bitorder="little").view(np.int64).reshape(docs, 4)
+        bits = np.packbits(parity.astype(np.uint8).reshape(docs, BITS), axis=1, bitorder="little").view(np.int64).reshape(docs, BITS // 64)
 
         # Later copies have no keys and words, so the rest looks at leads only.
         d, element, floor, n = d[lead[d]], element[lead[d]], floor[lead[d]], n
@@ -217,7 +218,7 @@ class Signer:
             "row_id": pa.array(number),
             "lead": pa.array(lead),
             "n": pa.array(n.astype(np.int32)),
-            **{f"bits{i}": pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)},
+            **{f"bits{i}": pa.array(np.ascontiguousarray(bits[:, i])) for i in range(BITS // 64)},
             "keys": pa.ListArray.from_buffers(pa.list_(pa.int64()), docs, [None, offsets(key_ends)], children=[pa.array(key)]),
             "words": pa.BinaryArray.from_buffers(pa.binary(), docs, [None, offsets(4 * np.cumsum(m)), pa.py_buffer(words)]),
         }
