@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vocandra.llm import abuse, bpe, packing, pii, tagger
 
@@ -40,6 +42,31 @@ def test_plan_uses_everything_once():
         assert used == counts
 
 
+def test_tiers_have_windows_of_their_own():
+    rng = random.Random(8)
+    counts = Counter(rng.choice([rng.randint(1, 60), rng.randint(1, 300), rng.randint(300, 1000)]) for _ in range(5000))
+    plans = {tiers: packing.plan_windows(counts, 1000, tiers) for tiers in ((1000,), (1000, 500, 250))}
+    tiered = plans[1000, 500, 250]
+    assert {tier for _, _, tier in tiered} == {1000, 500, 250} and tiered != plans[(1000,)]
+    for windows, times, tier in tiered:
+        assert len(windows) <= 1000 // tier and all(sum(w) <= tier for w in windows)
+        # A window of a tier is opened by a size that no shorter tier has room for; rests of tiers share a container.
+        assert all(tier == 250 or max(w) > tier // 2 for w in windows) or times == 1
+    containers = {k: sum(times for _, times, _ in plan) for k, plan in plans.items()}
+    assert containers[1000, 500, 250] <= containers[(1000,)]
+    # Where nothing small closes short windows, they aren't used.
+    assert {tier for _, _, tier in packing.plan_windows({200: 1000}, 1000, (1000, 500, 250))} == {1000}
+
+
+def test_step_groups_are_balanced(spark):
+    rng = random.Random(9)
+    sizes = [rng.choice([30, 70, 90]) for _ in range(9000)] + [3] * 5
+    items = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens int")
+    rows = packing.pack(items, 100, (100, 50)).groupBy("step_group").agg(F.sum("tokens"), F.count_distinct("container_id")).collect()
+    assert len(rows) > 10
+    assert max(r[1] for r in rows) - min(r[1] for r in rows) < 200 and max(r[2] for r in rows) - min(r[2] for r in rows) <= 1
+
+
 def test_pack(spark):
     rng = random.Random(6)
     sizes = [rng.choice([0, 5, 40, 60, 99, 100, 101, 350]) for _ in range(300)]
