@@ -86,6 +86,15 @@ def test_repeated_lines(spark, rows):
     assert repeated_lines(jobs.limit(0)).count() == 0
 
 
+def test_rows_of_one_job_count_once(spark):
+    row = (1, "T", "A", "A line that comes again\nx", "s", datetime(2025, 1, 1), None, "k", "x")
+    others = [(i, "T", "B", "own line w%s" % ("xyzuvabcd"[i]), "t", datetime(2025, 1, 1), None, "k", "x") for i in range(2, 9)]
+    jobs = spark.createDataFrame([row] * 8 + others, JOBS)
+    assert repeated_lines(jobs).count() == 0
+    many = spark.createDataFrame([(i, *row[1:]) for i in range(8)] + [row] * 3 + others, JOBS)
+    assert pairs(repeated_lines(many)) == {(i, n) for i in range(8) for n in (1, 2)}
+
+
 def test_alike_pairs_match_brute_force(spark, rows):
     jobs = spark.createDataFrame(rows, JOBS)
     want = alike_by_hand(rows)

@@ -17,10 +17,12 @@ after counting, otherwise the join shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocandra.session import broadcast_if_small, stage
+from vocandra.session import broadcast_if_small, is_small, stage
 
 MIN_DOCS = 8
 MIN_SHARE = 0.05
@@ -47,21 +49,24 @@ def scopes(jobs: DataFrame) -> tuple[Column, Column]:
 
 
 def frequent_lines(jobs: DataFrame) -> DataFrame:
-    """(scope, line): the hashes of the lines that are frequent in a scope."""
+    """(scope, line): the hashes of the lines that are frequent in a scope; staged."""
     in_scopes = F.array_compact(F.array(*scopes(jobs)))
     rows = jobs.select(
+        "job_id",
         in_scopes.alias("scopes"),
         F.array_remove(F.array_distinct(line_hashes(F.col("description"))), NO_LETTERS).alias("lines"),
     )
-    sizes = jobs.select(F.explode(in_scopes).alias("scope")).groupBy("scope").count().withColumnRenamed("count", "docs")
+    # Rows of one job_id count once. They are few, if any: only their own lines are made distinct by a shuffle.
+    again = broadcast_if_small(stage(jobs.groupBy("job_id").count().filter("count > 1").select("job_id"), "repeated-jobs"))
+    once, more = rows.join(again, "job_id", "left_anti"), rows.join(again, "job_id", "left_semi")
+
+    def of_jobs(exploded: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return exploded(once).union(exploded(more.select("job_id", "scopes", "lines")).distinct()).drop("job_id")
+
+    sizes = of_jobs(lambda r: r.select("job_id", F.explode("scopes").alias("scope"))).groupBy("scope").count().withColumnRenamed("count", "docs")
     sizes = sizes.filter(F.col("docs") >= MIN_DOCS)
-    counts = (
-        rows.select(F.explode("lines").alias("line"), "scopes")
-        .select("line", F.explode("scopes").alias("scope"))
-        .groupBy("scope", "line")
-        .count()
-        .filter(F.col("count") >= MIN_DOCS)
-    )
+    lines = of_jobs(lambda r: r.select("job_id", F.explode("lines").alias("line"), "scopes").select("job_id", "line", F.explode("scopes").alias("scope")))
+    counts = lines.groupBy("scope", "line").count().filter(F.col("count") >= MIN_DOCS)
     kept = counts.join(sizes, "scope").filter(F.col("count") >= MIN_SHARE * F.col("docs"))
     return stage(kept.select("scope", "line"), "frequent-lines")
 
@@ -73,16 +78,27 @@ def repeated_lines(jobs: DataFrame, frequent: DataFrame | None = None) -> DataFr
     lines = jobs.select(
         "job_id", source.alias("by_source"), company.alias("by_company"), F.posexplode(line_hashes(F.col("description"))).alias("at", "line")
     ).filter(F.col("line") != NO_LETTERS)
+    small = is_small(frequent)
     for scope in ("by_source", "by_company"):
         hits = frequent.select(F.col("scope").alias(scope), "line", F.lit(True).alias(f"{scope}_hit"))
-        lines = lines.join(broadcast_if_small(hits), [scope, "line"], "left")
+        lines = lines.join(F.broadcast(hits) if small else hits, [scope, "line"], "left")
     hits = lines.filter(F.col("by_source_hit") | F.col("by_company_hit"))
     return hits.select("job_id", (F.col("at") + 1).alias("line_no")).distinct()
 
 
 def without_repeated_lines(jobs: DataFrame) -> DataFrame:
-    """(job_id, description): the descriptions rebuilt without their frequent lines; null stays null."""
-    cut = repeated_lines(jobs).groupBy("job_id").agg(F.collect_set("line_no").alias("cut"))
-    lines = F.split("description", "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.coalesce("cut", F.array().cast("array<int>")), i + 1))
-    return jobs.select("job_id", "description").join(cut, "job_id", "left").select("job_id", F.array_join(kept, "\n").alias("description"))
+    """(job_id, description): the descriptions rebuilt without their frequent lines; null stays null.
+
+    The frequent hashes of a row's two scopes come to it as two arrays, so texts are cut in place and never shuffled
+    where the scopes' arrays are small; a scope has at most 1/MIN_SHARE times its mean line count of them.
+    """
+    source, company = scopes(jobs)
+    packed = stage(frequent_lines(jobs).groupBy("scope").agg(F.collect_list("line").alias("wanted")), "wanted-lines")
+    rows = jobs.select("job_id", "description", source.alias("by_source"), company.alias("by_company"))
+    for scope in ("by_source", "by_company"):
+        rows = rows.join(broadcast_if_small(packed).select(F.col("scope").alias(scope), F.col("wanted").alias(f"{scope}_wanted")), scope, "left")
+    none = F.array().cast("array<bigint>")
+    wanted = F.array_union(F.coalesce("by_source_wanted", none), F.coalesce("by_company_wanted", none))
+    lines = F.arrays_zip(F.split("description", "\n", -1).alias("text"), line_hashes(F.col("description")).alias("line"))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("wanted"), x["line"]))
+    return rows.withColumn("wanted", wanted).select("job_id", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("description"))
