@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from vocandra.llm.canonical import Canon, mapped_values
+from vocandra.llm.canonical import Canon, canonical_ids, mapped_values
 from vocandra.llm.names import edits, read_name, variant_pairs
 from vocandra.llm.tries import Trie
 
@@ -71,6 +71,22 @@ def test_canon_by_cases():
     assert Canon([]).find("anything") == 0
 
 
+def test_long_entries_and_other_words():
+    long = "Senior Principal Machine Learning Platform Reliability Site Engineer"
+    titles = Canon([(1, [long], []), (2, ["Data Engineer"], [])])
+    for value, ref_id in [(long, 1), (long.replace("Platform", "Platfrom"), 1), ("Site Engineer", 0), ("Gate Engineer", 0), ("Dataengineer", 2), ("Dta Engineer", 2)]:
+        assert titles.find(value) == ref_id, value
+
+
+def test_lists_in_blocks_find_the_same(spark):
+    names = ["Heskville", "Wyssant Harbour", "Thornmoor", "Data Engineer", "Product Manager", "Clinical Data Manager", "Rilke Sound"]
+    reference = spark.createDataFrame([("x", i, [n], []) for i, n in enumerate(names, 1)], "field string, ref_id long, names array<string>, codes array<string>")
+    typed = ["HESKVILLE", "wysant harbour", "Thornmor (remote)", "engineer, data", "prodct manager", "nothing", "Sound Rilke", "Clinical data manager II"]
+    values = spark.createDataFrame([("x", v) for v in typed], "field string, value string")
+    whole, blocks = ({tuple(r) for r in canonical_ids(values, reference, most).collect()} for most in (100, 2))
+    assert whole == blocks and ("x", "nothing", 0) in whole and ("x", "Sound Rilke", 7) in whole
+
+
 def test_mapped_values(spark):
     jobs = spark.createDataFrame([(1, "Heskville", "Data Enginer"), (2, None, "locksmith"), (3, " ", "Data Engineer")], "job_id long, location string, title string")
     needs = spark.createDataFrame([(1, '["python3", "", "Python"]'), (2, None), (3, "no json")], "job_id long, required_skills_json string")

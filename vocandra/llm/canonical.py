@@ -2,7 +2,7 @@
 
 1. Values of each field are made distinct; everything after works on these.
 2. A value is normalised to words: accents, case, digits and signs are dropped.
-3. Its windows (runs of up to ``WINDOW`` words) retrieve candidate entries from an inverted index of character trigrams
+3. Its windows (runs of words, up to some more than the longest entry has) retrieve candidate entries from an inverted index of character trigrams
    of the entries' words, and are scored by cosine, each trigram weighted by its rarity among the entries. Words are
    padded one by one, so the order of words doesn't matter; remarks around the entry fall outside its best window.
 4. The best entry is accepted above ``THRESHOLD`` and ``MARGIN`` ahead of any other entry, if an exact check also finds
@@ -22,7 +22,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,16 +30,17 @@ from pyspark.sql import functions as F
 
 from vocandra.session import broadcast_if_small, stage
 
-WINDOW = 6
+#: Words a window may have beyond those of the longest entry, and at least.
+BEYOND, LEAST_WINDOW = 2, 6
 THRESHOLD = 0.2
 MARGIN = 0.03
-#: Entries of a reference list up to which it is sent to the workers whole.
+#: Entries of the reference lists that are sent to the workers at a time; longer lists come in blocks.
 LIST_LIMIT = 100_000
 
 # Words between an entry's words that carry no meaning, and words that only say where or how one works.
 FILLERS = set("of the and in a an for with".split())
 # Usual short forms that aren't a word's start.
-SHORT_FORMS = {"mgr": "manager", "sw": "software", "db": "database", "biz": "business", "ops": "operations", "hw": "hardware", "dev": "developer"}
+SHORT_FORMS = {"mgr": "manager", "mngr": "manager", "sw": "software", "db": "database", "biz": "business", "ops": "operations", "hw": "hardware", "dev": "developer"}
 
 
 @lru_cache(200_000)
@@ -89,7 +90,8 @@ def same_word(typed: str, word: str) -> bool:
     return False
 
 
-def _covers(window: tuple[str, ...], entry: tuple[str, ...]) -> bool:
+def _covers(window: tuple[str, ...], entry: tuple[str, ...], own: frozenset[str] = frozenset()) -> bool:
+    """Whether a window has all words of an entry; ``own`` are the words that no other entry has."""
     left = list(window)
     for word in entry:
         hit = next((w for w in left if w == word), None) or next((w for w in left if same_word(w, word)), None)
@@ -98,6 +100,12 @@ def _covers(window: tuple[str, ...], entry: tuple[str, ...]) -> bool:
         left.remove(hit)
     else:
         return True
+    if len(window) == len(entry):
+        # Another word in one's place is no typo, unless a word of this entry alone stands beside it.
+        typed, meant = [w for w in window if w not in entry], [w for w in entry if w not in window]
+        told = len(typed) == len(meant) == 1 and any(w in own for w in entry if w in window)
+        return told and edits(typed[0], meant[0], 3) <= _allowed(len(meant[0])) + 1
+    # Words run together or torn apart.
     a, b = "".join(window), "".join(entry)
     return edits(a, b, 3) <= min(3, max(1, len(b) // 4))
 
@@ -109,6 +117,7 @@ class Canon:
         self.exact: dict[tuple[str, ...], int] = {}
         self.codes: dict[str, int] = {}
         self.names: list[tuple[int, tuple[str, ...]]] = []
+        self.window = LEAST_WINDOW
         for ref_id, names, codes in sorted(entries):
             for name in names:
                 words = words_of(name)
@@ -116,9 +125,15 @@ class Canon:
                     self.exact.setdefault(words, ref_id)
                     self.exact.setdefault(tuple(sorted(words)), ref_id)
                     self.names.append((ref_id, words))
+                    self.window = max(self.window, len(words) + BEYOND)
             for code in codes:
                 if code and code.strip():
                     self.codes.setdefault(code.strip().lower(), ref_id)
+        holders: dict[str, set[int]] = defaultdict(set)
+        for ref_id, words in self.names:
+            for word in words:
+                holders[word].add(ref_id)
+        self.own = frozenset(w for w, ids in holders.items() if len(ids) == 1)
         df: Counter[str] = Counter()
         grams = [Counter(g for w in words for g in _grams(w)) for _, words in self.names]
         for g in grams:
@@ -141,10 +156,10 @@ class Canon:
                 out[i] += n * self.weight[g] * part / total
         return out
 
-    def find(self, value: str) -> int:
-        """Id of the entry meant, or 0."""
+    def ranked(self, value: str) -> list[tuple[float, int]]:
+        """(score, id) of the entry that may be meant and of the next best; codes score 0."""
         words = words_of(value)
-        windows = [words[i : i + n] for n in range(min(WINDOW, len(words)), 0, -1) for i in range(len(words) - n + 1)]
+        windows = [words[i : i + n] for n in range(min(self.window, len(words)), 0, -1) for i in range(len(words) - n + 1)]
         best: dict[int, float] = {}
         for window in windows:
             hit = self.exact.get(window) or self.exact.get(tuple(sorted(window)))
@@ -156,34 +171,59 @@ class Canon:
                     continue
                 for i, score in self._scores(window).items():
                     ref_id, entry = self.names[i]
-                    if score >= THRESHOLD and score > best.get(ref_id, 0.0) and len("".join(entry)) > 3 and _covers(window, entry):
+                    if score >= THRESHOLD and score > best.get(ref_id, 0.0) and len("".join(entry)) > 3 and _covers(window, entry, self.own):
                         best[ref_id] = score
         if not best:
-            found = [self.codes[w] for w in words if w in self.codes]
-            return found[0] if found else 0
-        ranked = sorted(((s, -r) for r, s in best.items()), reverse=True)
-        if len(ranked) > 1 and ranked[0][0] - ranked[1][0] < MARGIN:
-            return 0
-        return -ranked[0][1]
-
-
-def canonical_ids(values: DataFrame, reference: DataFrame) -> DataFrame:
-    """values: (field, value). reference: (field, ref_id, names, codes). Returns (field, value, ref_id), distinct, 0 for none."""
-    listed = reference.limit(LIST_LIMIT + 1).collect()
-    if len(listed) > LIST_LIMIT:
-        raise ValueError(f"a reference list is limited to {LIST_LIMIT} entries")
-    entries: dict[str, list] = defaultdict(list)
-    for r in listed:
-        entries[r["field"]].append((r["ref_id"], [x for x in r["names"] or [] if x], [x for x in r["codes"] or [] if x]))
+            return [(-i / 1e6, self.codes[w]) for i, w in enumerate(words) if w in self.codes][:1]
+        return sorted(((s, r) for r, s in best.items()), key=lambda x: (-x[0], x[1]))[:2]
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canons = {field: Canon(rows) for field, rows in entries.items()}
-        none = Canon([])
-        for batch in batches:
-            yield batch.assign(ref_id=[canons.get(f, none).find(v) for f, v in zip(batch["field"], batch["value"])])
-
-    distinct = values.select("field", "value").filter(F.col("value").rlike(r"\S")).distinct()
-    return distinct.mapInPandas(find, "field string, value string, ref_id long")
+    def find(self, value: str) -> int:
+        """Id of the entry meant, or 0."""
+        return decided(self.ranked(value))
+
+
+def decided(ranked: list[tuple[float, int]]) -> int:
+    """The best entry's id, where it is ahead of any other entry; else 0."""
+    ranked = sorted(ranked, key=lambda x: (-x[0], x[1]))
+    if not ranked or (len(ranked) > 1 and ranked[0][0] > 0 and ranked[0][0] - ranked[1][0] < MARGIN):
+        return 0
+    return ranked[0][1]
+
+
+def canonical_ids(values: DataFrame, reference: DataFrame, most: int = LIST_LIMIT) -> DataFrame:
+    """values: (field, value). reference: (field, ref_id, names, codes). Returns (field, value, ref_id), distinct, 0 for none.
+
+    Lists of more than ``most`` entries go over the values in blocks by hash of the entry; the best entries of the blocks
+    then compete. Rarity is taken within a block, so scores of such lists differ a little from those of one index.
+    """
+    reference = stage(reference, "reference")
+    blocks = max(1, -(-reference.count() // most))
+    distinct = stage(values.select("field", "value").filter(F.col("value").rlike(r"\S")).distinct(), "typed-values")
+    schema = "field string, value string, ranked array<struct<score:double,ref_id:long>>"
+    ranked = []
+    for number in range(blocks):
+        entries: dict[str, list] = defaultdict(list)
+        for r in reference.filter(F.pmod(F.xxhash64("field", "ref_id"), F.lit(blocks)) == number).collect():
+            entries[r["field"]].append((r["ref_id"], [x for x in r["names"] or [] if x], [x for x in r["codes"] or [] if x]))
+        sent = values.sparkSession.sparkContext.broadcast(dict(entries))
+
+        def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            canons = {field: Canon(rows) for field, rows in sent.value.items()}
+            none = Canon([])
+            for batch in batches:
+                rows = [[{"score": s, "ref_id": r} for s, r in canons.get(f, none).ranked(v)] for f, v in zip(batch["field"], batch["value"])]
+                yield batch.assign(ranked=rows)
+
+        ranked.append(distinct.mapInPandas(find, schema))
+    if blocks == 1:
+        together = ranked[0]
+    else:
+        together = reduce(DataFrame.union, ranked).groupBy("field", "value").agg(F.flatten(F.collect_list("ranked")).alias("ranked"))  # two a block
+    best = F.array_sort(F.transform("ranked", lambda x: F.struct((-x["score"]).alias("less"), x["ref_id"].alias("ref_id"))))
+    first, second = F.try_element_at("best", F.lit(1)), F.try_element_at("best", F.lit(2))
+    # As in ``decided``.
+    close = (first["less"] < 0) & second.isNotNull() & (second["less"] - first["less"] < MARGIN)
+    return together.withColumn("best", best).select("field", "value", F.when(close, F.lit(0)).otherwise(F.coalesce(first["ref_id"], F.lit(0))).cast("long").alias("ref_id"))
 
 
 def typed_values(jobs: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -211,6 +251,6 @@ def reference_lists(places: DataFrame, titles: DataFrame, skills: DataFrame) ->
 def mapped_values(jobs: DataFrame, requirements: DataFrame, places: DataFrame, titles: DataFrame, skills: DataFrame) -> DataFrame:
     """(job_id, field, item_no, ref_id) of all values that aren't a canonical name letter for letter."""
     reference, exact = reference_lists(places, titles, skills)
-    values = typed_values(jobs, requirements).join(F.broadcast(exact), ["field", "value"], "left_anti")
+    values = typed_values(jobs, requirements).join(broadcast_if_small(stage(exact, "exact-names")), ["field", "value"], "left_anti")
     found = stage(canonical_ids(values, reference), "canonical")
     return values.join(broadcast_if_small(found), ["field", "value"]).select("job_id", "field", "item_no", "ref_id")
