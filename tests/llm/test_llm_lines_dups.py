@@ -6,10 +6,12 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from vocandra.llm.history import repeats_in_arrival_order
-from vocandra.llm.lines import repeated_lines, without_repeated_lines
+from vocandra.llm.history import History, repeats_in_arrival_order, signed_batch
+from vocandra.llm.lines import frequent_lines, repeated_lines, without_repeated_lines
 from vocandra.llm.near_dup import alike_classes, alike_pairs
+from vocandra.session import listed
 
 JOBS = "job_id long, title string, company string, description string, source string, first_seen timestamp_ntz, content_hash string, key string, scope string"
 WORD = re.compile(r"[^\W_]+")
@@ -136,3 +138,35 @@ def test_a_third_of_all_rows_copies(spark):
     classes = {r["job_id"]: r for r in alike_classes(jobs).collect()}
     assert classes[0]["copies"] == 30 and {classes[i]["class_id"] for i in range(30)} == {0}
     assert len(pairs(alike_pairs(jobs))) == 30 * 29 // 2
+
+
+def signed(spark, rows):
+    jobs = spark.createDataFrame(rows, JOBS)
+    return signed_batch(jobs, frequent_lines(jobs.limit(0)), set())
+
+
+def test_history_is_opened_by_a_later_session(spark, tmp_path):
+    own = lambda k: " ".join("w%d" % (k * 100 + j) for j in range(40))
+    row = lambda i, k, day: (i, "T", "A", own(k), "s", datetime(2025, 1, day), None, "k", "x")
+    path = f"file://{tmp_path}/history"
+    for day in (1, 2, 3, 4, 5):  # the fourth merges runs
+        history = History(spark.newSession(), path, buckets=64)
+        assert len(history.runs) == {1: 0, 2: 1, 3: 2, 4: 3, 5: 1}[day]
+        batch = signed(spark, [row(10 * day + i, 10 * day + i, day) for i in range(5)] + ([row(10 * day + 9, 10, day)] if day > 1 else []))
+        got = pairs(history.absorb(batch))
+        assert got == ({(10, 10 * day + 9)} if day > 1 else set())
+    history = History(spark, path)
+    assert len(history.runs) == 2 and history.runs[0]["level"] == 1
+    kept = {r["job_id"] for r in history._all("members").collect()}
+    assert kept == {10 * day + i for day in range(1, 6) for i in range(5)}
+    # A batch of one text opens only the buckets that hold one of its keys.
+    few = history._few(signed(spark, [row(90, 10, 9)]).withColumnRenamed("class_id", "id"))
+    keys = history._read(history.runs[0], "keys")
+    files = lambda frame: len(frame.select(F.input_file_name()).distinct().collect())
+    scan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    chosen = int(re.search(r"SelectedBucketsCount: (\d+) out of 64", scan(keys.filter(F.col("key").isin(few[:5])))).group(1))
+    assert chosen <= 5 and files(keys) > 5
+    # Only folders that the manifest names are left, but for the signatures.
+    left = {n for n in listed(spark, path) if not n.startswith("manifest")}
+    assert {r["name"] for r in history.runs} <= left and len([n for n in listed(spark, path) if n.startswith("manifest")]) == 1
+    assert all(set(listed(spark, f"{path}/{n}")) == {"signed"} for n in left - {r["name"] for r in history.runs})

@@ -43,7 +43,7 @@ from vocandra.session import broadcast_if_small, bucketed, listed, open_bucketed
 #: Runs of one level kept side by side before they are merged.
 FAN = 4
 #: Days taken into one call when a whole table is caught up.
-SLICE_DAYS = 30
+SLICE_DAYS = 45
 #: Distinct keys up to which a batch opens only the buckets of its keys, by a list in the filter.
 FEW_KEYS = 4096
 

@@ -86,7 +86,10 @@ def met_pairs(left: DataFrame, right: DataFrame, sizes: DataFrame, same: bool, h
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Hot on either side: the few keys are found by a filter that skips row groups without any.
     hot = left.filter(F.col("sharing") > hot_key).select("key")
-    hot = broadcast_if_small(stage((hot if same else hot.union(right.filter(F.col("sharing") > hot_key).select("key"))).distinct(), "hot-keys"), 1 << 20)
+    hot = stage((hot if same else hot.union(right.filter(F.col("sharing") > hot_key).select("key"))).distinct(), "hot-keys")
+    if hot.isEmpty():
+        return met
+    hot = broadcast_if_small(hot, 1 << 20)
     asking, asked = left.join(hot, "key", "left_semi"), right.join(hot, "key", "left_semi")
     blocks = lambda of: F.ceil(F.col(of) / block).cast("int")
     counts = asking.groupBy("key").agg(F.max("sharing").alias("of_a")).join(asked.groupBy("key").agg(F.max("sharing").alias("of_b")), "key")

@@ -297,10 +297,8 @@ def cosine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hashed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The title of every hundredth posting against all, by hashed trigrams."""
-    vectors = stage(rank.hashed_grams(table(spark, sf_dir, "jobs").select(F.col("job_id").alias("key"), F.col("title").alias("text"))), "grams")
-    wanted = vectors.filter("key % 100 = 0").withColumnRenamed("key", "query")
-    near = rank.similarity(wanted, vectors).withColumn("similarity", F.round("similarity", 6))
-    near = rank.top(near, ["query"], "similarity", "key", 20)
+    vectors = stage(rank.dense(rank.hashed_grams(table(spark, sf_dir, "jobs").select(F.col("job_id").alias("key"), F.col("title").alias("text")))), "grams")
+    near = rank.search(vectors, vectors.filter("key % 100 = 0"), 20, digits=6).filter("similarity > 0")
     return near.select(F.col("query").alias("query_id"), F.col("key").alias("job_id"), "similarity", F.round(rank.rescale(F.col("similarity"), 0.35, 0.85), 4).alias("score"))
 
 
