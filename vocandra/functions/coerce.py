@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,44 +41,38 @@ def enum_key(c: Column, known: list[str], otherwise: str) -> Column:
     return F.when(key.isin(*known), key).otherwise(otherwise)
 
 
-def balanced_object(text: str | None) -> str | None:
-    """The first {...} with balanced braces outside of strings, thinking and fences taken off; null without one."""
+_DECODER = json.JSONDecoder()
+_TRAILING_COMMA = re.compile(r",(\s*[}\]])")
+
+
+def json_object(text: str | None) -> str | None:
+    """The first JSON object that stands in a text, thinking and fences taken off; null without one.
+
+    From each opening brace on, the text is tried as it is, then with curly quotes and trailing commas mended.
+    """
     if not text:
         return None
-    end = text.rfind("</think>")
-    text = text[end + 8 :] if end >= 0 else text
-    fence = text.find("```")
-    if fence >= 0:
-        close = text.find("```", fence + 3)
-        inner = text[fence + 3 : close if close >= 0 else None]
+    text = text.rpartition("</think>")[2]
+    if "```" in text:
+        inner = text.split("```")[1]
         text = inner[4:] if inner[:4].lower() == "json" else inner
-    start = text.find("{")
-    depth, quoted, escaped = 0, False, False
-    for i in range(max(start, 0), len(text) if start >= 0 else 0):
-        c = text[i]
-        if escaped:
-            escaped = False
-        elif quoted:
-            escaped = c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                return text[start : i + 1]
+    mended = _TRAILING_COMMA.sub(r"\1", text.replace("“", '"').replace("”", '"'))
+    # Mending takes no brace away, so the n-th brace is the same in both.
+    for places in zip(*[(m.start() for m in re.finditer("{", t)) for t in (text, mended)]):
+        for t, at in zip((text, mended), places):
+            try:
+                return t[at : _DECODER.raw_decode(t, at)[1]]
+            except (ValueError, RecursionError):
+                pass
     return None
 
 
 @F.pandas_udf(StringType())
 def _salvage(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield texts.map(lambda t: balanced_object(t) if isinstance(t, str) else None)
+        yield texts.map(lambda t: json_object(t) if isinstance(t, str) else None)
 
 
 def salvage_json(c: Column) -> Column:
-    """A JSON object out of a model's answer, with trailing commas and curly quotes mended."""
-    text = F.regexp_replace(F.regexp_replace(_salvage(c), "[“”]", '"'), r",\s*([}\]])", "$1")
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    """A JSON object out of a model's answer; null where there is none."""
+    return _salvage(c)

@@ -75,14 +75,7 @@ def seniority_rank(level: Column) -> Column:
     return out
 
 
-def place_key(location: Column, aliases: dict[str, list[str]]) -> Column:
-    """The first place whose name or other name stands in the text as a word, else the text, lower-cased.
-
-    ``aliases`` is the list of places in order of trial; places are a parameter, not part of the engine.
-    """
-    text = F.lower(F.coalesce(location, F.lit("")))
-    out = F.trim(F.regexp_replace(text, r"\s+", " "))
-    for place, names in reversed(aliases.items()):
-        words = "|".join(n.lower() for n in names)
-        out = F.when(text.rlike(rf"\b(?:{words})\b"), place).otherwise(out)
-    return F.when(text.rlike(r"\bremote\b|work from home|\bwfh\b|anywhere|virtual"), "remote").otherwise(out)
+def rank_gap(wanted: Column, own: Column) -> Column:
+    """How many levels the wanted one is above one's own; null where one is unknown."""
+    a, b = seniority_rank(wanted), seniority_rank(own)
+    return F.when((a >= 0) & (b >= 0), a - b)

@@ -23,6 +23,8 @@ YEARS = [
     (2.2, rf"(?iu)experience[^.\n]{{0,25}}?(\d{{1,2}})\s*\+?\s*{_Y}", "min_experience_reversed"),
     (1.0, rf"(?iu)(\d{{1,2}})\s*\+?\s*{_Y}", "bare"),
 ]
+#: What all of these need; only sentences with it are looked at.
+NUMBER_OF_YEARS = rf"(?iu)\d\s*\+?\s*{_Y}"
 CONTEXT = r"(?iu)experience|expertise|professional|career|worked"
 MOST_YEARS = 45
 DOMAINS = [
@@ -62,7 +64,8 @@ def experience(text: Column) -> Column:
             found.append(F.when(fits, mention))
         return F.array_compact(F.array(*found))
 
-    best = F.array_max(F.flatten(F.transform(sentences(text), mentions)))
+    told = F.filter(F.when(text.rlike(NUMBER_OF_YEARS), sentences(text)), lambda s: s.rlike(NUMBER_OF_YEARS))
+    best = F.array_max(F.flatten(F.transform(told, mentions)))
     risky = (best["kind"] == "bare") & (best["weight"] < 3.0)
     return F.when(best.isNotNull() & ~risky, best)
 

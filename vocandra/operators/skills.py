@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from vocandra.functions.text import skill_text
-from vocandra.session import broadcast_if_small
+from vocandra.session import broadcast_if_small, is_small, stage
+
+try:
+    import ahocorasick
+except ImportError:  # the join does it as well
+    ahocorasick = None
 
 # Worth of the kinds of match, weight of skills that are not required, score without skills.
 WORTH = {"exact": 1.0, "related": 0.75, "transferable": 0.5, "missing": 0.0}
 PREFERRED_WEIGHT, NO_SKILLS = 0.5, 50.0
-SHORTEST, MOST_WORDS = 3, 4
+SHORTEST = 3
+#: Bytes of the file of spellings up to which they are sent to the workers as one automaton; beyond, words meet them in a join.
+SENT_BYTES = 8 << 20
 
 
 def aliases(skills: DataFrame) -> DataFrame:
@@ -32,30 +43,56 @@ def runs(parts: Column, most: int, glue: str) -> list[Column]:
     return out
 
 
-def word_runs(c: Column, most: int = MOST_WORDS) -> Column:
+def word_runs(c: Column, most: int) -> Column:
     """Runs of 1 to ``most`` words of a normalised text, once each."""
     return F.array_distinct(F.flatten(F.array(*runs(F.split(c, " "), most, " "))))
 
 
-def scan(texts: DataFrame, skills: DataFrame, most: int = 60) -> DataFrame:
-    """texts: (key, text). (key, skill, category, place): skills named in each text, longer spellings first, ``most`` a text.
+def spellings_in(texts: DataFrame, names: DataFrame, sent: int = SENT_BYTES, clean_text: Callable[[Column], Column] = skill_text, least: int = SHORTEST) -> DataFrame:
+    """(key, alias): the spellings that stand in each text (key, text) as whole words, once each. names: staged (alias, ...),
+    normalised as ``clean_text`` does.
 
-    Word runs meet the spellings in a hash join, so the work grows with the words of a text, not with the taxonomy.
+    One pass of an Aho-Corasick automaton per text; where the spellings are too many to be sent, the runs of words up
+    to the longest spelling's meet them in a hash join.
     """
-    names = broadcast_if_small(aliases(skills).filter(F.length("alias") >= SHORTEST))
-    runs = texts.select("key", F.explode(word_runs(skill_text(F.col("text")))).alias("alias")).filter(F.length("alias") >= SHORTEST)
-    hits = runs.join(names, "alias").groupBy("key", "skill").agg(F.min("rank").alias("rank"), F.first("category").alias("category"))
+    clean = texts.select("key", clean_text(F.col("text")).alias("text")).filter("text <> ''")
+    listed = names.filter(F.length("alias") >= least).select("alias").distinct()
+    if ahocorasick is None or not is_small(names, sent):
+        most = listed.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+        return clean.select("key", F.explode(word_runs(F.col("text"), most)).alias("alias")).join(listed, "alias").select("key", "alias")
+    words = listed.sparkSession.sparkContext.broadcast([r["alias"] for r in listed.collect()])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for word in words.value:
+            automaton.add_word(f" {word} ", word)
+        automaton.make_automaton()
+        for batch in batches:
+            keys, found = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hits = {word for _, word in automaton.iter(f" {text} ")} if words.value else ()
+                keys += [key] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found, pa.string())], ["key", "alias"])
+
+    return clean.mapInArrow(find, StructType([clean.schema["key"], StructField("alias", StringType())]))
+
+
+def scan(texts: DataFrame, skills: DataFrame, most: int = 60, sent: int = SENT_BYTES) -> DataFrame:
+    """texts: (key, text). (key, skill, category, place): skills named in each text, longer spellings first, ``most`` a text."""
+    names = stage(aliases(skills), "spellings")
+    hits = spellings_in(texts, names, sent).join(broadcast_if_small(names), "alias").groupBy("key", "skill").agg(F.min("rank").alias("rank"), F.first("category").alias("category"))
     place = F.row_number().over(W.partitionBy("key").orderBy("rank"))
     return hits.withColumn("place", place).filter(F.col("place") <= most).select("key", "skill", "category", "place")
 
 
-def resolve(names: DataFrame, skills: DataFrame) -> DataFrame:
+def resolve(names: DataFrame, skills: DataFrame, sent: int = SENT_BYTES) -> DataFrame:
     """names: (name), distinct. (name, skill, category): the exact spelling, else the longest that stands in it, else the name."""
-    table = broadcast_if_small(aliases(skills))
-    keyed = names.select("name", skill_text(F.col("name")).alias("alias"))
-    exact = keyed.join(table, "alias", "left")
-    open_names = exact.filter("skill IS NULL").select("name", F.explode(word_runs(F.col("alias"))).alias("alias")).filter(F.length("alias") >= SHORTEST)
-    inside = open_names.join(table, "alias").groupBy("name").agg(F.min_by(F.struct("skill", "category"), "rank").alias("r"))
+    known = stage(aliases(skills), "spellings")
+    table = broadcast_if_small(known)
+    exact = names.select("name", skill_text(F.col("name")).alias("alias")).join(table, "alias", "left")
+    open_names = exact.filter("skill IS NULL").select(F.col("name").alias("key"), F.col("name").alias("text"))
+    inside = spellings_in(open_names, known, sent).join(table, "alias").groupBy(F.col("key").alias("name")).agg(F.min_by(F.struct("skill", "category"), "rank").alias("r"))
     both = exact.join(inside, "name", "left")
     pretty = F.substr(F.trim(F.regexp_replace("name", r"\s+", " ")), F.lit(1), F.lit(80))
     return both.select("name", F.coalesce("skill", "r.skill", pretty).alias("skill"), F.coalesce("category", "r.category").alias("category"))
@@ -85,3 +122,23 @@ def score(matches: DataFrame) -> DataFrame:
     weight = F.when(F.col("required"), 1.0).otherwise(PREFERRED_WEIGHT)
     out = matches.groupBy("group", "key").agg(F.count("*").alias("skills"), F.count_if(F.col("kind") != "missing").alias("matched"), (F.sum(worth * weight) / F.sum(weight)).alias("share"))
     return out.select("group", "key", "skills", "matched", F.coalesce(100 * F.col("share"), F.lit(NO_SKILLS)).alias("score"))
+
+
+def by_kind(matches: DataFrame) -> DataFrame:
+    """(group, key, exact, related, transferable, missing): the skills of each kind of match, in alphabetical order."""
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("skill")))).alias(kind)
+    return matches.groupBy("group", "key").agg(*[of(kind) for kind in WORTH])
+
+
+def unmet(matches: DataFrame, level: str = "related") -> DataFrame:
+    """(group, key, skill) of skills that must be there and aren't: not the same one, nor, unless ``level`` is exact, a near one."""
+    enough = ["exact"] if level == "exact" else ["exact", "related", "transferable"]
+    return matches.filter(~F.col("kind").isin(*enough)).select("group", "key", "skill")
+
+
+def taxonomy_rows(canonical: DataFrame, other: DataFrame) -> DataFrame:
+    """canonical: (name, category); other: (alias, name). (name, category, is_alias, place): names by category, then aliases of known names."""
+    names = canonical.select("name", "category", F.lit(0).alias("is_alias"))
+    met = other.join(canonical.select(F.lower("name").alias("low"), "category").dropDuplicates(["low"]), F.lower(other["name"]) == F.col("low"))
+    rows = names.union(met.select("alias", "category", F.lit(1))).dropDuplicates(["name", "is_alias"])
+    return rows.select("name", "category", "is_alias")

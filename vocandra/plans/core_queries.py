@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from vocandra.functions import coerce, detect, experience, text, web
 from vocandra.operators import postings, profiles, rank, skills
+from vocandra.operators.places import located
 from vocandra.session import broadcast_if_small, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,13 +135,26 @@ def seniority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("jobs"), F.max(detect.seniority_rank(F.col("seniority"))).alias("rank"), F.round(F.avg("min_experience_years"), 6).alias("mean_min_years"))
 
 
-@query()
+_PLACE_TEXT = r"trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query(
+    rf"""WITH named AS (SELECT unnest(list_concat([name], coalesce(alt_names, []))) AS t, name AS place, 0 AS step, place_id FROM ref_place
+        UNION ALL SELECT country, lower(country), 1, place_id FROM ref_place UNION ALL SELECT region, lower(region), 2, place_id FROM ref_place UNION ALL SELECT site_code, lower(region), 3, place_id FROM ref_place),
+    alias AS (SELECT {_PLACE_TEXT.format("t")} AS alias, place, step, place_id FROM named),
+    v AS (SELECT DISTINCT location AS v FROM jobs),
+    hit AS (SELECT v, arg_min(place, step * 1000000 + place_id) AS place FROM v JOIN alias ON length(alias) >= 2 AND contains(' ' || {_PLACE_TEXT.format("v")} || ' ', ' ' || alias || ' ') GROUP BY v),
+    known AS (SELECT v.v, CASE WHEN regexp_matches(lower(v.v), '\bremote\b|work from home|\bwfh\b|anywhere|virtual') THEN 'remote'
+        ELSE coalesce(hit.place, trim(regexp_replace(lower(coalesce(v.v, '')), '\s+', ' ', 'g'))) END AS place FROM v LEFT JOIN hit ON hit.v = v.v)
+    SELECT place, count(*) AS jobs FROM jobs JOIN known ON jobs.location IS NOT DISTINCT FROM known.v GROUP BY place"""
+)
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locations by the reference list of places; see the tests for its cases."""
-    listed = table(spark, sf_dir, "ref_place").orderBy("place_id").limit(1000).collect()
-    aliases = {r["name"].lower(): [r["name"], *(r["alt_names"] or [])] for r in listed}
-    key = detect.place_key(F.col("location"), aliases)
-    return table(spark, sf_dir, "jobs").groupBy(key.alias("place")).agg(F.count("*").alias("jobs"))
+    """Locations by the reference list of places."""
+    jobs = table(spark, sf_dir, "jobs").groupBy(F.col("location").alias("value")).agg(F.count("*").alias("n"))
+    jobs = stage(jobs, "locations")
+    known = located(jobs.select("value"), table(spark, sf_dir, "ref_place"))
+    met = jobs.join(known.withColumnRenamed("value", "v"), F.col("value").eqNullSafe(F.col("v")))
+    return met.groupBy("place").agg(F.sum("n").alias("jobs"))
 
 
 @query(
@@ -152,7 +166,7 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("job_id").agg(F.count("*").alias("sentences"), F.max(F.length("s")).alias("longest"))
 
 
-def _years_sql() -> str:
+def _years_sql(more: str = "") -> str:
     options = []
     for k, (weight, pattern, kind) in enumerate(experience.YEARS):
         p = quoted(pattern.replace("(?iu)", "(?i)"))
@@ -167,7 +181,7 @@ def _years_sql() -> str:
     c AS (SELECT job_id, title, description, trim(s, ' ') AS s, n, CASE WHEN regexp_matches(s, '(?i)experience|expertise|professional|career|worked') THEN 2.0 ELSE 0.0 END AS b FROM numbered WHERE trim(s, ' ') <> ''),
     m AS ({' UNION ALL '.join(options)}),
     best AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY w DESC, n, k) AS r FROM m)
-    SELECT job_id, lo AS min_years, hi AS max_years, kind, coalesce({domain('s')}, {domain('title')}, {domain('left(description, 800)')}, 'general') AS experience_domain
+    SELECT job_id, lo AS min_years, hi AS max_years, kind{more}, coalesce({domain('s')}, {domain('title')}, {domain('left(description, 800)')}, 'general') AS experience_domain
     FROM best WHERE r = 1 AND NOT (kind = 'bare' AND w < 3.0)"""
 
 
@@ -340,7 +354,22 @@ def fresh_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.fresh(table(spark, sf_dir, "jobs"), F.expr(f"TIMESTAMP_NTZ '{AS_OF}'"), 14).select("job_id", "posted_date")
 
 
-@query()
+_URL = ORACLES["canonical_urls"]
+_PAY = ORACLES["pay_texts"]
+_DATE = ORACLES["parse_dates"]
+_TYPES = "CASE " + " ".join(f"WHEN contains(j, '{t}') THEN '{k}'" for t, k in web.EMPLOYMENT) + " ELSE 'unknown' END"
+
+
+@query(
+    f"""WITH c AS (SELECT * FROM ({ORACLES["clean_descriptions"]})), u AS (SELECT * FROM ({_URL})), p AS (SELECT * FROM ({_PAY})), d AS (SELECT * FROM ({_DATE})),
+    n AS (SELECT r.raw_id, trim(coalesce(company, '')) AS company, trim(coalesce(title, '')) AS title, trim(coalesce(location, '')) AS location, c.description, u.url,
+        lower(trim(coalesce(site, ''))) AS source, p.salary, d.posted_date, coalesce(job_level, '') AS job_level_raw, coalesce(experience_range, '') AS experience_range_raw, is_remote, lower(array_to_string(job_type, ' ')) AS j
+        FROM raw_posting r JOIN c USING (raw_id) JOIN u USING (raw_id) JOIN p USING (raw_id) JOIN d USING (raw_id) WHERE trim(coalesce(job_url, '')) <> '' AND trim(coalesce(title, '')) <> ''),
+    t AS (SELECT *, lower(concat_ws(' ', CASE WHEN is_remote THEN 'remote' END, title, location, left(description, 400))) AS c, lower(concat_ws(' ', title, left(description, 400))) AS e, {_TYPES} AS stated FROM n)
+    SELECT raw_id AS ordinal, company, title, location, description, url, source, CASE WHEN source <> '' THEN [source] ELSE [] END AS sources, salary,
+        CASE WHEN stated <> 'unknown' THEN stated ELSE {_EMPLOYMENTS} END AS employment_type, {_MODES} AS work_mode, posted_date,
+        sha256(lower(trim(regexp_replace(company || '|' || title || '|' || description, '[ \t\n\r\f\v]+', ' ', 'g')))) AS content_hash, job_level_raw, experience_range_raw FROM t"""
+)
 def normalised_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.normalise(table(spark, sf_dir, "raw_posting"))
 
@@ -394,7 +423,16 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", "current_title", F.col("total_experience_years").alias("total_years"), F.size("skills").alias("skills"))
 
 
-@query()
+_LIST = "list_filter(coalesce(from_json(json_extract(profile_json, '$.{0}'), '[\"VARCHAR\"]'), []), lambda s: length(trim(s)) > 0) AS {0}"
+
+
+@query(
+    f"""WITH p AS (SELECT id, {_LIST.format("target_roles")}, {_LIST.format("core_skills")}, {_LIST.format("skills")} FROM candidate_profile),
+    l AS (SELECT id, list_concat(target_roles, list_transform(CASE WHEN len(core_skills) > 0 THEN core_skills ELSE skills END, lambda s: s || ' Engineer')) AS l FROM p),
+    u AS (SELECT id, unnest(l) AS query, unnest(range(1, len(l) + 1)) AS n FROM l), d AS (SELECT id, query, min(n) AS n FROM u GROUP BY id, query)
+    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) AS INTEGER) AS place, query FROM d QUALIFY place <= 6
+    UNION ALL SELECT id, place, query FROM l, (VALUES (1, 'Data Analyst'), (2, 'Software Engineer')) v(place, query) WHERE len(l.l) = 0"""
+)
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.search_queries(profiles.profiles(table(spark, sf_dir, "candidate_profile")))
 
@@ -422,7 +460,15 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length("text").alias("characters"), F.col("text").rlike(text.SECTION).alias("has_section"), F.when(F.length("text") <= 600, whole).alias("short_text"))
 
 
-@query()
+def sql_excerpt(t: str, size: int) -> str:
+    pattern = quoted(text.SECTION)
+    at = f"strpos({t}, regexp_extract({t}, '{pattern}'))"
+    start = f"greatest(1, {at} - {size // 4})"
+    return f"""CASE WHEN length({t}) <= {size} THEN {t} WHEN regexp_matches({t}, '{pattern}') AND {at} - 1 < length({t}) - 100
+        THEN left(substr({t}, {start}, {at} - {start}) || chr(10) || substr({t}, {at}, {size}), {size + size // 4}) ELSE left({t}, {size}) END"""
+
+
+@query(f"SELECT doc_id, {sql_excerpt('text', 600)} AS excerpt FROM documents WHERE text IS NOT NULL")
 def section_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of all documents, long ones too; tested against a small model."""
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.excerpt(F.col("text"), 600).alias("excerpt"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import importlib.util
 import io
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocandra.sources.config import config_hash, merged_config  # noqa: F401
+
 SHORTEST, LONGEST = 40, 200_000
 TEXT_ENDINGS = ("txt", "md", "text")
 #: Names under which scrapers deliver a column, in order of preference.
@@ -88,19 +89,3 @@ def call_plan(spark: SparkSession, locations: list[str], queries: list[str], mos
     """(call, location, query): location by location, the first ``most`` calls to a scraper."""
     calls = [(i, place, q) for i, (place, q) in enumerate(((p, q) for p in locations for q in queries), 1)]
     return spark.createDataFrame(calls[:most], "call int, location string, query string")
-
-
-def merged_config(defaults: dict, *layers: dict) -> dict:
-    """Nested settings, later layers over earlier ones; keys that the defaults don't have are left out."""
-    out = json.loads(json.dumps(defaults))
-    for layer in layers:
-        for key, value in layer.items():
-            if key in out:
-                out[key] = merged_config(out[key], value) if isinstance(out[key], dict) and isinstance(value, dict) else value
-    return out
-
-
-def config_hash(settings: dict) -> str:
-    import hashlib
-
-    return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()
