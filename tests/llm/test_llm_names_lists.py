@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 from vocandra.llm.canonical import Canon, canonical_ids, mapped_values
-from vocandra.llm.names import edits, read_name, variant_pairs
+from vocandra.llm.names import edits, read_name, spellings, trie_join, variant_pairs
 from vocandra.llm.tries import Trie
 
 
@@ -96,3 +96,20 @@ def test_mapped_values(spark):
     got = {tuple(r) for r in mapped_values(jobs, needs, places, titles, listed).collect()}
     assert got == {(1, "title", 1, 7), (2, "title", 1, 0), (1, "skill", 1, 1)}
     assert mapped_values(jobs.limit(0), needs.limit(0), places, titles, listed).count() == 0
+
+
+def test_hot_routes_in_blocks_find_the_same(spark):
+    rng = random.Random(7)
+    made = lambda: "".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    names = sorted({f"{made()} globalia" for _ in range(60)})
+    typed = [n[:3] + n[4:] for n in names[:20]]
+    nodes = spark.createDataFrame([(" ".join(sorted(n.split())), "") for n in names + typed], "core string, business string").distinct()
+    whole, blocks = ({(r["a"], r["b"], round(r["cost"], 6)) for r in trie_join(nodes, shard).collect()} for shard in (2000, 7))
+    assert whole == blocks and len(whole) >= 20
+
+
+def test_long_names_have_orders_and_shortenings():
+    words = ["brandel", "costigan", "drummond", "eastlake"]
+    found = spellings(words, "")
+    for text in ("eastlakebrandelcostigandrummond", "brandelcostigandrummondeastl", "costiganbrandeldrummondeastlake"):
+        assert text in found, text

@@ -5,8 +5,8 @@
 2. Nodes are sharded by routes: each core word, and each pair of outer syllables (first or last three letters of two
    words), so that two names with an edit or a cut in each of two words still share a route. A shard's names go into a
    trie, in each order of their words and with each way of shortening one, and every name of the shard walks the trie
-   with its Levenshtein automaton. Shards of more than ``SHARD`` names are split into blocks that every query of the
-   shard visits.
+   with its Levenshtein automaton. Shards of more than ``SHARD`` names are split into blocks of names and of queries, each
+   pair of which is a unit of work of bounded size.
 3. A node's parent is the cheapest heavier neighbour whose line of business doesn't contradict its own: edits plus
    small charges for shortenings and another legal form. Parents lead to one root per employer, so neighbours of
    neighbours aren't merged wholesale.
@@ -27,10 +27,9 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from vocandra.llm.tries import Trie
-from vocandra.session import stage
+from vocandra.session import broadcast_if_small, stage
 
 # Legal forms, lines of business with their usual abbreviations, remarks, endings of pet names.
 LEGAL = set("ltd limited llp llc gmbh plc sa pvt private inc incorporated co corp corporation company ag kg bv".split())
@@ -152,8 +151,14 @@ def spellings(words: list[str], business: str, shared: str | None = None) -> dic
 
     rest = [w for w in words if w != shared]
     if len(words) > 3:
-        put("".join(rest), 0.0)
-        put("".join(sorted(rest)), 0.0)
+        # All orders would be too many: one word may stand anywhere, and one may be shortened.
+        for i, word in enumerate(rest):
+            others = rest[:i] + rest[i + 1 :]
+            for j in range(len(rest)):
+                order = [*others[:j], word, *others[j:]]
+                for k, w in enumerate(order):
+                    for part, charge in _shortened(w):
+                        put("".join([*order[:k], part, *order[k + 1 :]]), charge)
         return out
     for order in itertools.permutations(rest):
         for parts in itertools.product(*[_shortened(w) for w in order]):
@@ -226,14 +231,29 @@ def read_values(values: DataFrame) -> DataFrame:
     return values.mapInPandas(read, READ)
 
 
+def routed_names(nodes: DataFrame) -> DataFrame:
+    """(core, business, route): a row per route of each node."""
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(c, b, r) for c, b in zip(batch["core"], batch["business"]) for r in sorted(routes(c.split()))]
+            yield pd.DataFrame(rows, columns=["core", "business", "route"])
+
+    return nodes.select("core", "business").mapInPandas(route, "core string, business string, route string")
+
+
 def trie_join(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(a, b, cost): pairs of ``nodes`` (core, business) near each other, both ways where both hold."""
-    split = F.udf(lambda core: sorted(routes(core.split())), "array<string>")
-    routed = nodes.select("core", "business", F.explode(split("core")).alias("route"))
-    routed = routed.withColumn("names", F.count("*").over(W.partitionBy("route"))).filter("names > 1")
-    routed = routed.withColumn("blocks", F.ceil(F.col("names") / shard).cast("int"))
-    queries = routed.select("route", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "core", "business", F.lit(True).alias("asks"))
-    names = routed.select("route", F.pmod(F.xxhash64("core"), "blocks").cast("int").alias("block"), "core", "business", F.lit(False).alias("asks"))
+    """(a, b, cost): pairs of ``nodes`` (core, business) near each other, both ways where both hold.
+
+    Routes are counted with partial sums; the block pairs of a hot route, a first name that a third of all names share,
+    are spread over all tasks.
+    """
+    routed = stage(routed_names(nodes), "routed-names")
+    counts = stage(routed.groupBy("route").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"), F.count("*").alias("names")).filter("names > 1").drop("names"), "routes")
+    routed = routed.join(broadcast_if_small(counts), "route").withColumn("own", F.pmod(F.xxhash64("core"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    queries = routed.select("route", every.alias("block"), F.col("own").alias("part"), "core", "business", F.lit(True).alias("asks"))
+    names = routed.select("route", F.col("own").alias("block"), every.alias("part"), "core", "business", F.lit(False).alias("asks"))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard_of, held, asked = None, [], []
@@ -243,16 +263,18 @@ def trie_join(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
             return pd.DataFrame([(a, b, c) for (a, b), c in best.items()], columns=["a", "b", "cost"])
 
         for batch in batches:
-            for route, block, core, business, asks in zip(batch["route"], batch["block"], batch["core"], batch["business"], batch["asks"]):
-                if (route, block) != shard_of:
+            for *at, core, business, asks in zip(*[batch[c] for c in ("route", "block", "part", "core", "business", "asks")]):
+                if tuple(at) != shard_of:
                     if held and asked:
                         yield done()
-                    shard_of, held, asked = (route, block), [], []
+                    shard_of, held, asked = tuple(at), [], []
                 (asked if asks else held).append((core, business))
         if held and asked:
             yield done()
 
-    both = queries.unionByName(names).repartition("route", "block").sortWithinPartitions("route", "block")
+    # As many tasks as told, not by size: the work is in the tries.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = queries.unionByName(names).repartition(tasks, "route", "block", "part").sortWithinPartitions("route", "block", "part")
     found = both.mapInPandas(join, PAIRS)
     return found.groupBy("a", "b").agg(F.min("cost").alias("cost"))
 
