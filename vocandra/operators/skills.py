@@ -106,7 +106,7 @@ def match(wanted: DataFrame, offered: DataFrame, related: DataFrame) -> DataFram
     """
     own = offered.groupBy("group", F.lower("skill").alias("low")).agg(F.min_by("skill", "place").alias("same"))
     in_category = offered.filter("category IS NOT NULL").groupBy("group", "category").agg(F.min_by("skill", "place").alias("near"), F.min("place").alias("at"))
-    next_to = in_category.join(F.broadcast(related), in_category["category"] == related["b"])
+    next_to = in_category.join(related, in_category["category"] == related["b"])
     next_to = next_to.groupBy("group", F.col("a").alias("category")).agg(F.min_by("near", "at").alias("far"))
     rows = wanted.withColumn("low", F.lower("skill")).join(own, ["group", "low"], "left")
     rows = rows.join(in_category.drop("at"), ["group", "category"], "left").join(next_to, ["group", "category"], "left")

@@ -256,7 +256,7 @@ def skill_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = items.join(known, "name").groupBy("job_id", "skill").agg(F.first("category").alias("category"), F.max("required").alias("required"))
     people = profiles.profiles(table(spark, sf_dir, "candidate_profile"))
     canonical = listed.filter("is_alias = 0").select(F.col("name").alias("skill"), "category")
-    offered = people.select(F.col("id").alias("group"), F.posexplode("skills").alias("place", "skill")).join(F.broadcast(canonical), "skill")
+    offered = people.select(F.col("id").alias("group"), F.posexplode("skills").alias("place", "skill")).join(canonical, "skill")
     related = spark.createDataFrame([p for a, b in NEIGHBOURS for p in ((a, b), (b, a))], "a string, b string")
     roles = people.select(F.col("id").alias("group"), F.explode("target_roles").alias("title")).distinct()
     sought = roles.join(table(spark, sf_dir, "jobs").select("job_id", "title"), "title").select("group", "job_id").distinct()
@@ -278,7 +278,7 @@ def skill_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = stage(wanted, "wanted")
     people = profiles.profiles(table(spark, sf_dir, "candidate_profile").filter("id % 100 = 0"))
     canonical = listed.filter("is_alias = 0").select(F.col("name").alias("skill"), "category")
-    offered = people.select(F.col("id").alias("group"), F.posexplode("skills").alias("place", "skill")).join(F.broadcast(canonical), "skill")
+    offered = people.select(F.col("id").alias("group"), F.posexplode("skills").alias("place", "skill")).join(canonical, "skill")
     related = spark.createDataFrame([p for a, b in NEIGHBOURS for p in ((a, b), (b, a))], "a string, b string")
     asking = people.select(F.col("id").alias("group")).distinct()
     asked = wanted.select("skill", "category").distinct().crossJoin(asking).withColumns({"key": F.lit(None).cast("long"), "required": F.lit(True)})
@@ -482,7 +482,7 @@ def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A star join of the driver's tables, to see pushdown and join order."""
     orders = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ '1997-01-01 00:00:00'")).select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")
-    people = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
