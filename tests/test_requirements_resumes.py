@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from vocandra.functions import coerce, detect
+from vocandra.functions import coerce, detect, registered, text
 from vocandra.operators import places, rank, requirements, resumes, skills
 from vocandra.sources import config, sinks
 
@@ -112,7 +112,31 @@ def test_raw_levels(spark, raw, level):
 
 def test_rank_gap(spark):
     rows = spark.createDataFrame([("senior", "mid"), ("unknown", "mid")], "a string, b string")
-    assert [r[0] for r in rows.select(detect.rank_gap(F.col("a"), F.col("b"))).collect()] == [1, None]
+    assert [r[0] for r in rows.select(detect.rank_gap(F.col("a"), F.col("b"))).collect()] == [1, 0]
+    titles = spark.createDataFrame([("ML Engineer", "engineer, data"), ("Baker", "Cook"), (None, "x")], "a string, b string")
+    assert [r[0] for r in titles.select(detect.shares_words(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+
+
+def test_entities(spark):
+    cases = {"a &amp; b": "a & b", "&amp;lt;": "&lt;", "&#8364; &#x20AC; &#128640;": "€ € 🚀", "&eacute;t&eacute;": "été", "&nosuch; &#0; &#xD800;": "&nosuch; &#0; &#xD800;", "no entity; & none": "no entity; & none", "&lt;b&gt;": "<b>", "": ""}
+    frame = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert {r["t"]: r["x"] for r in frame.select("t", text.unescape(F.col("t")).alias("x")).collect()} == cases
+
+
+def test_functions_by_sql_names(spark):
+    assert "rescaled" in registered.register(spark)
+    row = spark.sql("SELECT first_number('4+ years') AS n, plain_number(5D) AS p, rescaled(0.5D, 0.35D, 0.85D) AS r, salvaged_json('x {\"a\": 1,}') AS j").first()
+    assert (row["n"], row["p"], row["j"]) == (4.0, "5", '{"a": 1}') and abs(row["r"] - 30) < 1e-9
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    from vocandra.streaming.arrivals import upsert_batches
+
+    schema = "raw_id long, site string, title string, company string, job_url string, location string, description string, date_posted string, job_type array<string>, min_amount double, max_amount double, currency string, pay_interval string, is_remote boolean, job_level string, experience_range string, scraped_at timestamp_ntz"
+    for k in (1, 2):
+        batch = spark.createDataFrame([(k, "s", "T", f"C{k}", f"https://x.org/{k}", "L", "d", *[None] * 10)], schema).withColumn("scraped_at", F.expr("TIMESTAMP_NTZ '2026-01-01 00:00:00'"))
+        upsert_batches(sinks.KeyedTable(spark, f"file://{tmp_path}/jobs"))(batch, k)
+    assert {r["url"] for r in sinks.KeyedTable(spark, f"file://{tmp_path}/jobs").read().collect()} == {"https://x.org/1", "https://x.org/2"}
 
 
 @pytest.mark.parametrize(

@@ -76,6 +76,12 @@ def seniority_rank(level: Column) -> Column:
 
 
 def rank_gap(wanted: Column, own: Column) -> Column:
-    """How many levels the wanted one is above one's own; null where one is unknown."""
+    """How many levels the wanted one is above one's own; 0 where one is unknown."""
     a, b = seniority_rank(wanted), seniority_rank(own)
-    return F.when((a >= 0) & (b >= 0), a - b)
+    return F.when((a >= 0) & (b >= 0), a - b).otherwise(0)
+
+
+def shares_words(a: Column, b: Column) -> Column:
+    """Whether two titles have a word in common."""
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}+#]+"), lambda w: w != "")
+    return F.arrays_overlap(words(a), words(b))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +18,27 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: Named characters of the HTML 4 standard by the standard library's table, and those above under their own signs.
+_NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {e[1:-1]: c for e, c in ENTITIES if not e.startswith("&#")}
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _character(name: Column) -> Column:
+    """What an entity stands for; itself where it is unknown."""
+    hexed = F.when(name.rlike("^#[xX]"), F.substr(name, F.lit(3))).otherwise(F.conv(F.substr(name, F.lit(2)), 10, 16))
+    code = F.conv(hexed, 16, 10).cast("long")
+    valid = name.startswith("#") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    spelt = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+    known = F.create_map(*[F.lit(x) for item in _NAMED.items() for x in item])
+    return F.when(valid, spelt).otherwise(F.coalesce(F.try_element_at(known, name), F.concat(F.lit("&"), name, F.lit(";"))))
+
+
 def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Numeric and named entities decoded, once each: ``&amp;lt;`` becomes ``&lt;``. Texts without any pass untouched."""
+    names = F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(1))
+    parts = F.split(c, _ENTITY, -1)
+    rest = F.zip_with(F.transform(names, _character), F.slice(parts, F.lit(2), F.size(names)), lambda a, b: F.concat(a, b))
+    return F.when(c.rlike(_ENTITY), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
 
 
 def clean_description(c: Column) -> Column:

@@ -360,6 +360,13 @@ _DATE = ORACLES["parse_dates"]
 _TYPES = "CASE " + " ".join(f"WHEN contains(j, '{t}') THEN '{k}'" for t, k in web.EMPLOYMENT) + " ELSE 'unknown' END"
 
 
+@query(f"SELECT job_id, last_seen FROM jobs WHERE last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY ORDER BY job_id")
+def active_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seen lately, by id: the predicate reaches the scan, the order is a range partitioning."""
+    seen = F.col("last_seen") >= F.expr(f"TIMESTAMP_NTZ '{AS_OF}' - INTERVAL '30' DAY")
+    return table(spark, sf_dir, "jobs").filter(seen).select("job_id", "last_seen").orderBy("job_id")
+
+
 @query(
     f"""WITH c AS (SELECT * FROM ({ORACLES["clean_descriptions"]})), u AS (SELECT * FROM ({_URL})), p AS (SELECT * FROM ({_PAY})), d AS (SELECT * FROM ({_DATE})),
     n AS (SELECT r.raw_id, trim(coalesce(company, '')) AS company, trim(coalesce(title, '')) AS title, trim(coalesce(location, '')) AS location, c.description, u.url,
