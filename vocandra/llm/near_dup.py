@@ -19,8 +19,10 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vocandra.llm.sketches import BITS, THRESHOLD, signatures
-from vocandra.session import broadcast_if_small, bucketed, is_small, shared_dir, stage, unstage
+from vocandra.session import broadcast_if_small, bucketed, is_small, marked, release, shared_dir, stage, unstage
 
 #: Representatives that share a segment key from which on their pairs are made in blocks, under the sketch bound.
 HOT_KEY = 128
@@ -39,6 +41,10 @@ BIT_COLUMNS = [f"bits{i}" for i in range(BITS // 64)]
 SIZES = ["id", "n", *BIT_COLUMNS]
 #: Bytes of a file of sizes and sketches up to which it is sent to the executors.
 SENT_SIZES = 24 << 20
+#: Where they aren't, pairs are shuffled to their sketches: pairs of a round, whose shuffle files go before the next, and rounds at most.
+ROUND, ROUNDS = 8_000_000, 4
+#: Task and place of a signed row.
+TASK, PLACE = "shiftright(row_id, 33)", "row_id & 8589934591"
 
 
 def _bound(threshold: float, bits: list[str]) -> Column:
@@ -59,7 +65,7 @@ def _side(frame: DataFrame, name: str) -> DataFrame:
 def one_per_class(signed: DataFrame) -> DataFrame:
     """Of staged signatures, one row with keys and words per class, as ``id``."""
     first = signed.filter("lead").groupBy("class_id").agg(F.min("row_id").alias("row_id")).select("row_id")
-    return signed.join(broadcast_if_small(stage(first, "leads"), 1 << 20), "row_id", "left_semi").withColumnRenamed("class_id", "id")
+    return marked(signed, first, TASK, PLACE).withColumnRenamed("class_id", "id")
 
 
 def key_table(rows: DataFrame, path: str | None = None, alone: bool = False, buckets: int | None = None) -> DataFrame:
@@ -114,10 +120,33 @@ def candidate_pairs(keyed: DataFrame, signed: DataFrame, hot_key: int = HOT_KEY,
     sizes = stage(signed.select("id", "n", *_bits(signed)), "sizes")
     tables = [keyed.filter("new"), keyed.filter("NOT new")] if by_new else [keyed]
     tables = [key_table(t.select(F.explode("keys").alias("key"), "id"), alone=by_new) for t in tables]
-    out = met_pairs(tables[0], tables[0], sizes, True, hot_key, threshold, block)
-    if by_new:
-        out = out.union(met_pairs(tables[0], tables[1], sizes, False, hot_key, threshold, block))
-    return near_pairs(out, sizes, threshold)
+    meets = [(tables[0], tables[0], True)] + ([(tables[0], tables[1], False)] if by_new else [])
+    return near_of(meets, sizes, hot_key, threshold, block)
+
+
+def near_of(meets: list[tuple[DataFrame, DataFrame, bool]], sizes: DataFrame, hot_key: int = HOT_KEY, threshold: float = THRESHOLD, block: int = BLOCK, at_once: int = ROUND) -> DataFrame:
+    """``near_pairs`` of the ``met_pairs`` of each (left, right, same), once each.
+
+    Where the pairs must be shuffled to their sketches, they are made in rounds of keys, so that the disk holds the
+    shuffle files of one round; every key has its round.
+    """
+    rounds = 1
+    if not is_small(sizes, SENT_SIZES):
+        made = sum(right.agg(F.sum(F.least("sharing", F.lit(hot_key)))).first()[0] or 0 for _, right, _ in meets)
+        rounds = max(1, min(ROUNDS, math.ceil(made / at_once)))
+    out = []
+    for r in range(rounds):
+        of = lambda t: t.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == r) if rounds > 1 else t  # noqa: B023, E731
+        pairs = [met_pairs(of(left), of(right), sizes, same, hot_key, threshold, block) for left, right, same in meets]
+        out.append(near_pairs(reduce(DataFrame.union, pairs), sizes, threshold))
+        if rounds > 1:
+            del pairs
+            release(sizes.sparkSession)
+    if rounds == 1:
+        return out[0]
+    near = stage(reduce(DataFrame.union, out).distinct(), "near-pairs")
+    unstage(*out)
+    return near
 
 
 def near_pairs(pairs: DataFrame, sizes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -133,9 +162,12 @@ def near_pairs(pairs: DataFrame, sizes: DataFrame, threshold: float = THRESHOLD)
 
 
 def verified(near: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of staged pairs (a, b), those that reach the threshold. words: (id, words), once each."""
-    used = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    words = words.select("id", "words").join(broadcast_if_small(stage(used, "near-ids"), 4 << 20), "id", "left_semi")
+    """Of staged pairs (a, b), those that reach the threshold. words: (id, words), once each; with ``row_id``, of one signed table."""
+    used = stage(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "near-ids")
+    if "row_id" in words.columns and not is_small(used, 4 << 20):
+        words = marked(words, words.select("id", "row_id").join(used, "id", "left_semi"), TASK, PLACE).select("id", "words")
+    else:
+        words = words.select("id", "words").join(broadcast_if_small(used, 4 << 20), "id", "left_semi")
     full = near.join(_side(words, "a"), "a").join(_side(words, "b"), "b")
 
     def overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -157,7 +189,8 @@ def _linked(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leads = one_per_class(signed)
     keys = key_table(leads.select(F.explode("keys").alias("key"), "id"))
     sizes = stage(leads.select(*SIZES), "sizes")
-    near = near_pairs(met_pairs(keys, keys, sizes, True), sizes)
+    release(jobs.sparkSession)
+    near = near_of([(keys, keys, True)], sizes)
     links = stage(verified(near, leads), "alike-classes")
     member = stage(signed.select("job_id", "class_id").distinct(), "members")
     unstage(signed, keys, sizes, near)
