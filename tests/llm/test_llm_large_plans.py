@@ -47,6 +47,8 @@ def test_signed_rows_are_not_shuffled(spark, large):
 def test_large_plans_find_the_same(spark, large):
     want = {(a * 12 + g, b * 12 + g) for g in range(12) for a, b in itertools.combinations(range(4), 2)}
     assert {tuple(r) for r in near_dup.alike_pairs(_jobs(spark)).collect()} == want
+    got = {tuple(r) for r in history.repeats_in_arrival_order(_jobs(spark)).collect()}
+    assert got == {(g, b * 12 + g) for g in range(12) for b in range(1, 4)}
 
 
 def test_pairs_in_rounds(spark, monkeypatch):

@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocandra.llm.lines import frequent_lines
-from vocandra.llm.near_dup import BIT_COLUMNS, HOT_KEY, SIZES, key_table, met_pairs, near_pairs, one_per_class, verified
+from vocandra.llm.near_dup import BIT_COLUMNS, HOT_KEY, SIZES, key_table, near_of, one_per_class, verified
 from vocandra.llm.sketches import common_words, signatures
-from vocandra.session import broadcast_if_small, bucketed, listed, open_bucketed, put_text, read_text, release, remove, shared_dir, stage, unstage
+from vocandra.session import broadcast_if_small, bucketed, is_small, listed, marked, open_bucketed, put_text, read_text, release, remove, shared_dir, stage, unstage
 
 #: Runs of one level kept side by side before they are merged.
 FAN = 4
@@ -46,6 +46,8 @@ FAN = 4
 SLICE_DAYS = 45
 #: Distinct keys up to which a batch opens only the buckets of its keys, by a list in the filter.
 FEW_KEYS = 4096
+#: Bits of one bitmap, where many are sent.
+MARKS = 1 << 20
 
 PARTS = {
     "keys": ("key", "key BIGINT, id BIGINT, sharing BIGINT"),
@@ -126,18 +128,21 @@ class History:
         old_sizes = self._windows("accepted", few)
         staged_sizes = stage(sizes if old_sizes is None else sizes.unionByName(old_sizes.select(*SIZES).join(nodes.select("id").distinct(), "id", "left_anti")), "batch-sizes")
         shared = keys.filter("sharing > 1")
-        pairs = met_pairs(shared, shared, staged_sizes, True, self.hot_key)
+        meets = [(shared, shared, True)]
         for run in self.runs:
             window = self._read(run, "keys")
-            window = window.filter(F.col("key").isin(few)) if few is not None else window
-            pairs = pairs.union(met_pairs(keys, window, staged_sizes, False, self.hot_key))
-        near = near_pairs(pairs, staged_sizes)
+            meets.append((keys, window.filter(F.col("key").isin(few)) if few is not None else window, False))
+        release(self.spark)
+        near = near_of(meets, staged_sizes, self.hot_key)
         words = leads.select("id", "words")
         if self.runs:
             used = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct().join(nodes.select("id"), "id", "left_anti")
-            used = broadcast_if_small(stage(self._all("accepted").join(broadcast_if_small(stage(used, "old-near"), 4 << 20), "id", "left_semi").select("id", "row_id"), "old-words"), 4 << 20)
+            used = stage(self._all("accepted").join(broadcast_if_small(stage(used, "old-near"), 4 << 20), "id", "left_semi").select("id", "row_id"), "old-words")
             old_rows = _together([self.spark.read.parquet(f"{self.path}/{s}").select(F.col("class_id").alias("id"), "row_id", "words") for r in self.runs for s in r["signed"]])
-            words = words.unionByName(old_rows.join(used, ["id", "row_id"], "left_semi").select("id", "words").dropDuplicates(["id"]))
+            if not is_small(used, 4 << 20):  # the join shuffles; bitmaps of hashes leave it few rows that aren't asked for
+                place = f"pmod(xxhash64(id, row_id), {16 * used.count()})"
+                old_rows = marked(old_rows, used, f"{place} div {MARKS}", f"{place} % {MARKS}")
+            words = words.unionByName(old_rows.join(broadcast_if_small(used, 4 << 20), ["id", "row_id"], "left_semi").select("id", "words").dropDuplicates(["id"]))
         alike = stage(verified(near, words), "batch-alike")
 
         # Edges from later to earlier nodes, whose days are the batch's or an accepted record's.
