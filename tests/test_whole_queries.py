@@ -5,6 +5,7 @@ import re
 import pytest
 
 from vocandra.functions import text
+from vocandra.operators import skills
 from vocandra.plans.core_queries import QUERIES
 from vocandra.session import table
 
@@ -46,3 +47,25 @@ def test_the_whole_report(spark):
     assert [r["place"] for r in rows] == list(range(1, len(rows) + 1))
     first = {tuple(r) for r in QUERIES["matched_report"](spark, "/root/testdata/sf0.1").collect()}
     assert {tuple(r) for r in rows[:1000]} == first
+
+
+@pytest.mark.parametrize("name", ["skill_scores"])
+def test_pairs_of_skill_scores_are_not_shuffled(spark, name):
+    """Pairs are made once and grow with both tables: nothing is exchanged behind them."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan
+
+
+def test_score_pairs_by_blocks(spark):
+    wanted = [(k, f"s{(k * j) % 9}", "ABCD"[(k * j) % 9 % 4] if (k * j) % 9 < 7 else None, j % 2 == 0) for k in range(1, 30) for j in range(k % 5)]
+    wanted = spark.createDataFrame(sorted({(k, s): (k, s, c, r) for k, s, c, r in wanted}.values(), key=str), "key long, skill string, category string, required boolean")
+    offered = spark.createDataFrame([(g, f"S{s}", "ABCD"[s % 4], p) for g in range(11) for p, s in enumerate(range(g % 4)) if s % (g + 1) != 2], "group long, skill string, category string, place int")
+    related = spark.createDataFrame([("A", "B"), ("B", "A")], "a string, b string")
+    asking = spark.createDataFrame([(g % 2, g) for g in range(11)], "on int, group long")
+    asked = spark.createDataFrame([(k % 3, k) for k in range(1, 30)], "on int, key long")
+    got = skills.score_pairs(asking, asked, wanted, offered, related, groups=2, keys=3)
+    rows = {(r["group"], r["key"]): tuple(r)[2:] for r in got.collect()}
+    met = asking.join(asked, "on").select("group", "key")
+    whole = skills.score(skills.match(met.join(wanted, "key"), offered, related))
+    want = {(r["group"], r["key"]): (0, 0, skills.NO_SKILLS) for r in met.collect()} | {(r["group"], r["key"]): tuple(r)[2:] for r in whole.collect()}
+    assert got.count() == len(rows) and rows == want
