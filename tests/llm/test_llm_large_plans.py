@@ -31,7 +31,7 @@ def _jobs(spark):
     for k, g in itertools.product(range(4), range(12)):
         text = words[g * 40 : g * 40 + 40]
         text[k] = f"edit{k}"
-        rows.append((k * 12 + g, "t", "c", " ".join(text), f"s{g}", f"2025-0{1 + k // 2}-{10 + 9 * k // 2} 10:00:00", ""))
+        rows.append((k * 12 + g, "t", "c", " ".join(text), f"s{g}", f"2025-0{1 + 2 * (k // 2)}-{10 + 9 * k // 2} 10:00:00", ""))
     rows = spark.createDataFrame(rows, SCHEMA.replace("timestamp", "string"))
     return rows.withColumn("first_seen", F.to_timestamp("first_seen"))
 

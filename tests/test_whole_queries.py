@@ -49,7 +49,7 @@ def test_the_whole_report(spark):
     assert {tuple(r) for r in rows[:1000]} == first
 
 
-@pytest.mark.parametrize("name", ["skill_scores"])
+@pytest.mark.parametrize("name", ["skill_scores", "skill_scores_all"])
 def test_pairs_of_skill_scores_are_not_shuffled(spark, name):
     """Pairs are made once and grow with both tables: nothing is exchanged behind them."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
