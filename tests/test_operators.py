@@ -146,3 +146,17 @@ def test_notations_are_learned_from_linked_postings(spark):
     pay = units.read_pay(spark.createDataFrame(rows, "job_id long, salary string, description string"))
     got = {r["notation"]: (r["factor"], r["learned"]) for r in units.notation_factors(pay, spark.createDataFrame(UNITS, "unit string, kind string, factor long")).collect()}
     assert got["kay annus"] == (1000, True)
+
+
+def test_notations_are_learned_from_lines_of_many_postings(spark):
+    """A posting that came again more often than ``FEW`` times teaches as well; rarer lines come first."""
+    line = "a line long enough to link the copies of this posting number {} by its hash, and more words"
+    rows = []
+    for i in range(6):
+        for again in range(units.FEW):
+            rows.append((len(rows), f"USD {1000 * (i + 3)} monthly", line.format(f"0{i}")))
+            rows.append((len(rows), f"USD {12 * (i + 3)} kay annus", line.format(f"0{i}")))
+    pay = units.read_pay(spark.createDataFrame(rows, "job_id long, salary string, description string"))
+    got = {r["notation"]: (r["factor"], r["learned"]) for r in units.notation_factors(pay, spark.createDataFrame(UNITS, "unit string, kind string, factor long")).collect()}
+    assert got["kay annus"] == (1000, True)
+    assert {r["level"] for r in units.notation_pairs(pay).collect()} == {1}

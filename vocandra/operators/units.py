@@ -3,9 +3,10 @@
 A pay text is read as amounts, a currency and a notation: what is left of the text but fillers, like ``k pa`` or ``wk``. Each
 notation is a source in a graph:
 
-1. the same posting under other urls links records of two notations: same currency, and a long line that few postings
-   have (``FEW`` at most; what more have is stock text and tells nothing about who posted);
-2. each pair of notations gets a robust scale, the median ratio over linked postings, and an offset, the median
+1. the same posting under other urls links records of two notations: same currency, and a long line. The fewer postings have
+   the line, the more it tells about who posted: lines of up to ``FEW`` postings, of twice as many, and so on are levels of
+   evidence of their own, and commoner lines count where rarer ones teach nothing; none is left out;
+2. each pair of notations gets, by level, a robust scale, the median ratio over linked postings, and an offset, the median
    difference left at that scale; known conversions have no offset, so a pair with one is no evidence;
 3. notations spelt in the words of ``pay_units`` are anchors; from them factors spread in rounds along the best supported
    links, each product snapped to the nearest known conversion (a period times a scale) or left to the next best link;
@@ -32,7 +33,7 @@ from vocandra.session import broadcast_if_small, stage
 #: Links below which a pair of notations says nothing, and how far from a known conversion its scale may be.
 LINKS = 3
 TOLERANCE = 0.04
-#: Characters of a long line, and postings with pay up to which a long line tells whose it is.
+#: Characters of a long line, and postings with pay up to which long lines are all alike rare.
 LONG_LINE, FEW = 60, 12
 
 # Usual short forms of the units in pay_units.
@@ -162,12 +163,12 @@ def by_short_forms(notation: str, factors: dict[str, int]) -> int | None:
 
 
 def spread(pairs: DataFrame, anchors: DataFrame, conversions: list[int]) -> DataFrame:
-    """(notation, factor) reached from the anchors (notation, factor); pairs: (a, b, links, ratio), ratio the log of b's amounts over a's.
+    """(notation, factor) reached from the anchors (notation, factor); pairs: (a, b, level, links, ratio), ratio the log of b's amounts over a's.
 
-    In each round every notation next to known ones takes the factor of its best supported link that snaps to a
-    conversion. Rounds are as many as the graph is deep.
+    In each round every notation next to known ones takes the factor of its best supported link, by rarer lines first, that
+    snaps to a conversion. Rounds are as many as the graph is deep.
     """
-    edges = stage(pairs.select("a", "b", "links", "ratio").union(pairs.select("b", "a", "links", -F.col("ratio"))), "notation-edges")
+    edges = stage(pairs.select("a", "b", "level", "links", "ratio").union(pairs.select("b", "a", "level", "links", -F.col("ratio"))), "notation-edges")
     known = stage(anchors.select("notation", F.col("factor").cast("long").alias("factor")), "notation-factors")
     options = F.array(*[F.lit(int(c)) for c in conversions])
     while True:
@@ -175,7 +176,7 @@ def spread(pairs: DataFrame, anchors: DataFrame, conversions: list[int]) -> Data
         nearest = F.array_min(F.transform(options, lambda f: F.struct(F.abs(F.ln(f) - level).alias("off"), f.cast("long").alias("factor"))))
         met = edges.join(known.withColumnRenamed("notation", "a"), "a").join(known.select(F.col("notation").alias("b")), "b", "left_anti")
         met = met.withColumn("n", nearest).filter(F.col("n.off") <= TOLERANCE)
-        fresh = met.groupBy(F.col("b").alias("notation")).agg(F.max_by("n.factor", F.struct("links", -F.col("n.off"), "a")).alias("factor"))
+        fresh = met.groupBy(F.col("b").alias("notation")).agg(F.max_by("n.factor", F.struct(-F.col("level"), "links", -F.col("n.off"), "a")).alias("factor"))
         fresh = stage(fresh, "notation-factors")
         if fresh.isEmpty():
             return known
@@ -183,27 +184,31 @@ def spread(pairs: DataFrame, anchors: DataFrame, conversions: list[int]) -> Data
 
 
 def notation_pairs(pay: DataFrame) -> DataFrame:
-    """(a, b, links, ratio, shift): robust scale (its log) and offset between notations over linked postings; staged."""
+    """(a, b, level, links, ratio, shift): robust scale (its log) and offset between notations over linked postings; staged.
+
+    level: 0 of lines that up to ``FEW`` postings have, then one more for each doubling. Levels whose links agree.
+    """
     rows = pay.filter("currency IS NOT NULL AND low > 0").select("job_id", "currency", "notation", F.col("low").cast("double").alias("amount"), F.explode("lines").alias("line"))
-    # One row per line and notation; lines of many postings are left out before any pair is made.
+    # One row per line and notation: a line makes pairs of notations, not of postings, however many have it.
     one = rows.groupBy("line", "currency", "notation").agg(F.percentile_approx("amount", 0.5).alias("amount"), F.count("*").alias("postings"))
-    few = one.groupBy("line").agg(F.sum("postings").alias("postings"), F.count("*").alias("kinds")).filter((F.col("postings") <= FEW) & (F.col("kinds") > 1)).select("line")
-    one = one.join(few, "line")
-    left = one.select("line", "currency", F.col("notation").alias("a"), F.col("amount").alias("x"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.sum("postings") / FEW))).cast("int")
+    levels = one.groupBy("line").agg(level.alias("level"), F.count("*").alias("kinds")).filter("kinds > 1").select("line", "level")
+    one = one.join(levels, "line")
+    left = one.select("line", "level", "currency", F.col("notation").alias("a"), F.col("amount").alias("x"))
     right = one.select("line", "currency", F.col("notation").alias("b"), F.col("amount").alias("y"))
     # The lines two postings share say one thing: equal amounts count once.
-    both = stage(left.join(right, ["line", "currency"]).filter("a < b").groupBy("a", "b", "currency", "x", "y").agg(F.count("*").alias("lines")), "notation-links")
+    both = stage(left.join(right, ["line", "currency"]).filter("a < b").groupBy("a", "b", "currency", "x", "y").agg(F.min("level").alias("level")), "notation-links")
     ratio = F.ln(F.col("y") / F.col("x"))
-    scaled = both.groupBy("a", "b").agg(
+    scaled = both.groupBy("a", "b", "level").agg(
         F.count("*").alias("links"),
         F.percentile_approx(ratio, 0.5, F.lit(1000)).alias("ratio"),
         F.percentile_approx(ratio, 0.25, F.lit(1000)).alias("q1"),
         F.percentile_approx(ratio, 0.75, F.lit(1000)).alias("q3"),
     )
-    scaled = scaled.filter((F.col("links") >= LINKS) & (F.col("q3") - F.col("q1") <= 2 * TOLERANCE)).select("a", "b", "links", "ratio")
-    shifts = both.join(broadcast_if_small(stage(scaled, "notation-scales")), ["a", "b"])
+    scaled = scaled.filter((F.col("links") >= LINKS) & (F.col("q3") - F.col("q1") <= 2 * TOLERANCE)).select("a", "b", "level", "links", "ratio")
+    shifts = both.join(broadcast_if_small(stage(scaled, "notation-scales")), ["a", "b", "level"])
     shift = F.percentile_approx(F.col("y") - F.exp("ratio") * F.col("x"), 0.5)
-    return stage(shifts.groupBy("a", "b").agg(F.first("links").alias("links"), F.first("ratio").alias("ratio"), shift.alias("shift")), "notation-pairs")
+    return stage(shifts.groupBy("a", "b", "level").agg(F.first("links").alias("links"), F.first("ratio").alias("ratio"), shift.alias("shift")), "notation-pairs")
 
 
 def notation_factors(pay: DataFrame, units: DataFrame) -> DataFrame:
